@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most bytes of text that a numpy step looks at together; temporaries are about twenty times as large.
 SLICE_BYTES = 256 << 10
@@ -148,7 +149,7 @@ def gram_hashes(words: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mix(total)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """Apply a function of one Arrow batch."""
     small_batches(df.sparkSession)
 
@@ -192,3 +193,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return stars.unionByName(stars.select(F.col("component_id").alias("id"), "component_id").distinct())
+
+
+def annotate(df: DataFrame, text: str, step: Callable[[pa.Array], list[pa.Array]], added: str, keep: list[str] | None = None) -> DataFrame:
+    """Add columns that a numpy step makes from the text column, row by row; nothing is joined, so ids may repeat or be null.
+
+    ``keep`` lists the columns to hand on (default: all); one with the name of an added column gives way to it."""
+    new = T.StructType.fromDDL(added)
+    taken = {f.name.lower() for f in new}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    out = T.StructType([*base.schema.fields[:-1], *new.fields])
+    names = out.names
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = batch.columns
+        return pa.RecordBatch.from_arrays([*columns[:-1], *step(columns[-1])], names)
+
+    return map_batches(base, run, out)

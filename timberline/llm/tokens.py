@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import map_batches, read
+from timberline.llm.common import annotate, read
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters handed to the tokenizer at once, and the length from which a text is cut.
@@ -80,13 +80,11 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", tokeni
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows and null ids stay; other columns are not read."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths(batch.column(2).to_pylist(), tokenizer))], ["_id", "n_bytes", "n_tokens"])
+    def step(column: pa.Array) -> list[pa.Array]:
+        return [pa.array(lengths(column.to_pylist(), tokenizer))]
 
-    kind = docs.schema[id].dataType.simpleString()
-    slim = docs.select(F.col(id).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
-    out = map_batches(slim, step, f"_id {kind}, n_bytes long, n_tokens long")
-    return out.select(F.col("_id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    slim = docs.select(F.col(f"`{id}`"), F.col(f"`{text}`"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    return annotate(slim, text, step, "n_tokens long", [id, "n_bytes"]).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
