@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from timberline.llm.decontaminate import op6
+from timberline.llm.langid import op10
 from timberline.llm.metricjoin import op3
 from timberline.llm.mixing import op7
 from timberline.llm.neardup import op9
 from timberline.llm.sharding import op1
 from timberline.llm.tokens import op4
+from timberline.llm.toxicity import op2
 from timberline.llm.urls import op5
 
 QUERIES = {
     "op1_histogram_sort_shards": op1,
+    "op2_toxic_spans": op2,
     "op3_metric_range_join": op3,
     "op4_token_counts": op4,
     "op5_url_filter": op5,
     "op6_winnowing_decontamination": op6,
     "op7_soft_membership_mixing": op7,
     "op9_minhash_near_duplicates": op9,
+    "op10_language_id": op10,
 }
 
 #: DuckDB SQL for those that SQL can express.
