@@ -211,3 +211,20 @@ def annotate(df: DataFrame, text: str, step: Callable[[pa.Array], list[pa.Array]
         return pa.RecordBatch.from_arrays([*columns[:-1], *step(columns[-1])], names)
 
     return map_batches(base, run, out)
+
+
+MAP_BITS = 23
+
+
+def bit_map(rows: DataFrame, *key: str) -> DataFrame:
+    """2**MAP_BITS bits, those of the keys' hashes set: at most 131,072 rows (_w, _bits) of 16 bytes, whatever the input."""
+    at = F.shiftrightunsigned(F.xxhash64(*key), 64 - MAP_BITS)
+    return rows.select(at.alias("_x")).groupBy(F.shiftright("_x", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_x & 63 as int))")).alias("_bits"))
+
+
+def mark(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """Add ``_marked``: true for every row whose key is in the map, and for few others. Saves their shuffle to the rest."""
+    at = rows.withColumn("_x", F.shiftrightunsigned(F.xxhash64(*key), 64 - MAP_BITS))
+    held = at.join(F.broadcast(bits), F.shiftright("_x", 6) == F.col("_w"), "left")
+    bit = F.expr("(shiftright(_bits, cast(_x & 63 as int)) & 1) = 1")
+    return held.withColumn("_marked", F.coalesce(bit, F.lit(False))).drop("_w", "_bits", "_x")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import materialise, read
+from timberline.llm.common import bit_map, mark, materialise, read
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.70, "poor": 0.20, "toxic": 0.10}
@@ -36,9 +36,9 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_rows: int) -> DataFrame:
-    """row, id, tokens (words, at least 1), p (posterior over DOMAINS) of every row of ``docs``."""
+    """row, id, name (hash of the text), tokens (words, at least 1), p (posterior over DOMAINS) of every row of ``docs``."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), WORDS), lambda w: w != "")
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), words.alias("words"))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("name"), words.alias("words"))
     sample = materialise(_sample(labels, sample_rows))
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     D = range(len(DOMAINS))
@@ -49,10 +49,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_ro
     prior = [(x + 1) / (sum(total) + len(DOMAINS)) for x in total]
     shares = counts.select("bucket", *[((F.col(f"n{d}") + SMOOTHING * prior[d]) / (sum(F.col(f"n{e}") for e in D) + SMOOTHING)).alias(f"s{d}") for d in D])
     # one row of words a document: partial sums in each task leave one row a document to shuffle
-    each = split.select("row", "id", F.size("words").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word")).withColumn("bucket", bucket)
+    each = split.select("row", "id", "name", F.size("words").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word")).withColumn("bucket", bucket)
     held = each.join(F.broadcast(shares), "bucket", "left")  # at most 65,536 rows
     aggregates = [f(F.coalesce(f"s{d}", F.lit(prior[d]))).alias(f"{n}{d}") for d in D for n, f in (("mean", F.avg), ("top", F.max))]
-    described = materialise(held.groupBy("row").agg(F.first("id").alias("id"), F.first("tokens").alias("tokens"), *aggregates))
+    described = materialise(held.groupBy("row").agg(F.first("id").alias("id"), F.first("name").alias("name"), F.first("tokens").alias("tokens"), *aggregates))
     features = [f"{n}{d}" for d in D for n in ("mean", "top")]
     fitted = described.join(F.broadcast(sample.where("part = 1")), "id").groupBy("domain").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("v", F.var_pop))]).collect()
     by = {r["domain"]: r for r in fitted}
@@ -69,7 +69,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_ro
         logs.append(density / 2 + F.log(F.lit((by[d]["n"] + 1) / (n + len(DOMAINS)))))  # halved: the features repeat each other
     most = F.greatest(*logs)
     weights = [F.exp(x - most) for x in logs]
-    return described.select("row", "id", F.greatest("tokens", F.lit(1)).cast("long").alias("tokens"), F.array(*[w / reduce(lambda a, b: a + b, weights) for w in weights]).alias("p"))
+    return described.select("row", "id", "name", F.greatest("tokens", F.lit(1)).cast("long").alias("tokens"), F.array(*[w / reduce(lambda a, b: a + b, weights) for w in weights]).alias("p"))
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float], keep_all: bool = False) -> tuple[Column, dict]:
@@ -107,5 +107,22 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     return members.select(F.col("id").alias(id), "tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], rate.alias("rate"))
 
 
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id: str = "doc_id", text: str = "text", keep_all: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its rate says: its whole part, and one more if a hash of id and text falls below the rest.
+
+    With ``keep_all`` every row stays at least once, and only rows of scarce domains repeat. Rows that stay as they are
+    aren't shuffled."""
+    members = materialise(posteriors(docs, labels, id, text, sample_rows))
+    rate, _ = fit_rates(members, weights, keep_all)
+    chance = F.shiftrightunsigned(F.xxhash64("id", "name", F.lit(9)), 11) / float(1 << 53)
+    times = members.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.floor(rate + chance).cast("int").alias("_times")).where("_times <> 1").distinct()
+    other = materialise(times)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id}`").alias("_own"), F.xxhash64(f"`{text}`").alias("_text"))
+    marked = mark(named, bit_map(other, "_id", "_name"), "_own", "_text")
+    counted = marked.where("_marked").join(other, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_name")), "left")
+    repeated = counted.select("_doc", F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)))))
+    return marked.where("not _marked").select("_doc").unionByName(repeated.select("_doc")).select("_doc.*")
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return mix_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -6,9 +6,9 @@ most 15 symbols, some chunk differs in at most one (pigeonhole); the allowed err
 out each symbol in turn, so both meet under at least one of 32 keys. A pair of Jaccard similarity 0.75 has 8 differing
 symbols on average; all eight chunks fail it with a probability of 2e-5, and less above. Links are confirmed on whole sets.
 
-Equal sets are one class. In each key's group every class is compared with the least one; then only classes that are in
-one group and still in different components are compared, in blocks, so that neither the pairs of a large group of copies
-nor the links in it are written out.
+Equal sets are one class. In each key's group every class is compared with the least one, then in a few rounds with the
+nearest one that is still in another component; last, all classes that are in one group and in different components are
+compared. So no link between components is lost, and neither the pairs of a large group nor the links in it are written.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import byte_class, components, gram_hashes, map_batches, materialise, mix, odd_numbers, read, slices, word_hashes
+from timberline.llm.common import bit_map, byte_class, components, gram_hashes, map_batches, mark, materialise, mix, odd_numbers, read, slices, word_hashes
 
 WORD = byte_class([0x20, *range(0x09, 0x0E)])
 SYMBOLS, CHUNKS = 32, 8
@@ -29,8 +29,8 @@ PER = SYMBOLS // CHUNKS
 FAR = 20
 #: Members of one key's group that are compared in one block.
 BLOCK = 1024
-#: Bits of the map of wanted rows that goes to every task (1 MB, whatever the input).
-MAP_BITS = 23
+#: Rounds in which every class tries its nearest signature in another component, before all that is left is tried.
+NEAREST_ROUNDS = 0
 _A, _B = odd_numbers(SYMBOLS, 31), odd_numbers(SYMBOLS, 32)
 
 
@@ -61,7 +61,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """row, id, number of shingles, 128 bits that name the set, signature, set."""
+    """row, id, name of the text, number of shingles, 128 bits that name the set, signature, set."""
     kind = docs.schema[id].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -80,12 +80,12 @@ def _signed(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
                     signs[k] = s.tobytes()
             own = batch.slice(at, to - at)
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(signs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["row", "id", "n", "f1", "f2", "sig", "set"],
+                [own.column(0), own.column(1), own.column(3), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(signs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["row", "id", "name", "n", "f1", "f2", "sig", "set"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return map_batches(rows, step, f"row long, id {kind}, n long, f1 long, f2 long, sig binary, set binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("name"))
+    return map_batches(rows, step, f"row long, id {kind}, name long, n long, f1 long, f2 long, sig binary, set binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -116,10 +116,7 @@ def _confirm(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFram
     """Pairs of classes whose whole sets are similar: u, v."""
     top, under = int(round(similarity * 100)), 100
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"))
-    bit = F.shiftrightunsigned(F.xxhash64("row"), 64 - MAP_BITS)
-    bits = wanted.select(bit.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
-    sieved = signed.select("row", "set", bit.alias("x")).join(F.broadcast(bits), F.shiftright("x", 6) == F.col("w"))  # at most 2**17 rows of 16 bytes
-    sets = sieved.where(F.expr("(shiftright(bits, cast(x & 63 as int)) & 1) = 1")).select("row", "set")
+    sets = mark(signed.select("row", "set"), bit_map(wanted, "row"), "row").where("_marked").select("row", "set")
     joined = pairs.join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,8 +159,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of classes under one key in different components that can be similar."""
+def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs of classes under one key in different components that can be similar; with ``nearest``, for each class and block only the one of the nearest signature."""
     labelled = keyed.join(found, keyed.c == found.id, "left").select("key", "place", "c", F.coalesce("component_id", "c").alias("comp"))
     spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     open_ = labelled.join(spread, "key").join(classes.select("c", "n", "sig"), "c")
@@ -182,7 +179,7 @@ def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity:
             left, right = (np.arange(len(c)),) * 2 if one else (np.flatnonzero(mine == x[0]), np.flatnonzero(mine == y[0]))
             leave = (np.arange(SYMBOLS) // PER == place[0] // PER) & (np.arange(SYMBOLS) != place[0])
             for k in left:
-                to = right[right > k] if one else right
+                to = right if nearest or not one else right[right > k]
                 to = to[(comp[to] != comp[k]) & (np.minimum(n[to], n[k]) >= similarity * np.maximum(n[to], n[k]))]
                 if not len(to):
                     continue
@@ -190,6 +187,11 @@ def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity:
                 to, same = to[SYMBOLS - same.sum(1) <= FAR], same[SYMBOLS - same.sum(1) <= FAR]
                 if not len(to):
                     continue
+                if nearest:
+                    to = to[[int(same.sum(1).argmax())]]
+                    pairs.append(np.stack((np.minimum(c[k], c[to]), np.maximum(c[k], c[to]))))
+                    size += 1
+                    continue
                 agree = same.reshape(-1, CHUNKS, PER)
                 alone = (agree.sum(2)[:, :, None] - agree) == PER - 1  # keys that the two share
                 to = to[alone.reshape(-1, SYMBOLS).argmax(1) == place[0]]  # each pair only under its first key
@@ -206,7 +208,7 @@ def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity:
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.75) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept, row (a number that orders the rows).
+    """One row for each row of ``docs``: id, n_shingles, component_id, kept, row (a number for it), root (one for its component), name (hash of the text).
 
     Rows with equal sets are linked; so are those whose sets have at least ``similarity`` of their union in common.
     component_id is the smallest id in reach, kept whether the row's id is that. A text without words has an empty set
@@ -218,19 +220,45 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     groups = keyed.groupBy("key").agg(F.min("c").alias("hub"), F.count("*").alias("m")).where("m > 1")
     stars = keyed.join(groups, "key").where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"), "key")
     side = lambda s: classes.select(F.col("c").alias(s), F.col("n").alias("n" + s), F.col("sig").alias("s" + s))
-    shared = materialise(groups.select("key"))
+    shared = materialise(keyed.join(groups.select("key"), "key", "left_semi"))
     pairs = materialise(_near(stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a"), similarity))
     links = materialise(_confirm(pairs, signed, similarity))
     found = components(links)
-    more = materialise(_across(keyed.join(shared, "key", "left_semi"), classes, found, similarity).distinct())
-    again = materialise(_confirm(more, signed, similarity))
-    if again.limit(1).count():
+    for _ in range(NEAREST_ROUNDS):
+        more = materialise(_across(shared, classes, found, similarity, True).distinct())
+        again = materialise(_confirm(more, signed, similarity))
+        pairs = pairs.unionByName(more)
+        if again.isEmpty():
+            break
+        links = links.unionByName(again)
+        found = components(links)
+    rest = materialise(_across(shared, classes, found, similarity, False).distinct().join(pairs, ["a", "b"], "left_anti"))
+    again = materialise(_confirm(rest, signed, similarity))
+    if not again.isEmpty():
         found = components(links.unionByName(again))
     placed = classes.join(found, classes.c == found.id, "left").select("f1", "f2", classes.n, "least", F.coalesce("component_id", "c").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(roots, "root").select("f1", "f2", "n", "component_id")
-    rows = signed.select("row", "id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")
-    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "row").withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(False)))
+    of = placed.join(roots, "root").select("f1", "f2", "n", "component_id", "root")
+    rows = signed.select("row", "id", "name", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    kept = F.coalesce(F.col("id") == component, F.lit(False))
+    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "row", F.coalesce("root", "row").alias("root"), "name")
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.75) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component: that of the least id (a null id comes last), one of repeated rows.
+
+    Only rows that may have to go are shuffled; the others are told from them by a map of bits."""
+    found = near_duplicates(docs, id, text, size, similarity).select(F.col(id).alias("_id"), F.col("name").alias("_name"), "row", "root")
+    found = materialise(found)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "row")).alias("of")).select(F.col("of.row").alias("row"), F.lit(True).alias("stays"))
+    judged = found.join(first, "row", "left").groupBy("_id", "_name").agg(F.coalesce(F.max("stays"), F.lit(False)).alias("_stays"), F.count("*").alias("times"))
+    doubtful = materialise(judged.where("not _stays or times > 1").select("_id", "_name", "_stays"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id}`").alias("_own"), F.xxhash64(f"`{text}`").alias("_text"))
+    marked = mark(named, bit_map(doubtful, "_id", "_name"), "_own", "_text")
+    checked = marked.where("_marked").join(doubtful, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_name")), "left")
+    clear = marked.where("not _marked").select("_doc").unionByName(checked.where("_stays is null").select("_doc"))
+    return clear.unionByName(checked.where("_stays").dropDuplicates(["_own", "_text"]).select("_doc")).select("_doc.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

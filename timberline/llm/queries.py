@@ -8,6 +8,7 @@ from timberline.llm.metricjoin import op3
 from timberline.llm.mixing import op7
 from timberline.llm.neardup import op9
 from timberline.llm.sharding import op1
+from timberline.llm.suffixdedup import op8
 from timberline.llm.tokens import op4
 from timberline.llm.toxicity import op2
 from timberline.llm.urls import op5
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_url_filter": op5,
     "op6_winnowing_decontamination": op6,
     "op7_soft_membership_mixing": op7,
+    "op8_suffix_array_dedup": op8,
     "op9_minhash_near_duplicates": op9,
     "op10_language_id": op10,
 }
