@@ -29,8 +29,10 @@ PER = SYMBOLS // CHUNKS
 FAR = 20
 #: Members of one key's group that are compared in one block.
 BLOCK = 1024
+#: Bits of a set's outline.
+OUTLINE_BITS = 2048
 #: Rounds in which every class tries its nearest signature in another component, before all that is left is tried.
-NEAREST_ROUNDS = 0
+NEAREST_ROUNDS = 4
 _A, _B = odd_numbers(SYMBOLS, 31), odd_numbers(SYMBOLS, 32)
 
 
@@ -159,15 +161,40 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs of classes under one key in different components that can be similar; with ``nearest``, for each class and block only the one of the nearest signature."""
+def _open_rows(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of groups (key, place, c) that lie in more than one component, with comp, and the number of blocks of their group."""
     labelled = keyed.join(found, keyed.c == found.id, "left").select("key", "place", "c", F.coalesce("component_id", "c").alias("comp"))
     spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(spread, "key").join(classes.select("c", "n", "sig"), "c")
+    return materialise(labelled.join(spread, "key"))
+
+
+def _outlines(open_: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
+    """n, signature and a bit map of the set for each class of the open rows."""
+    wanted = open_.select("c").distinct()
+    sets = mark(signed.select("row", "set"), bit_map(wanted, "c"), "row").where("_marked").select("row", "set")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        maps = []
+        for k in range(len(batch)):
+            flags = np.zeros(OUTLINE_BITS, np.uint8)
+            flags[(np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64) & np.uint64(OUTLINE_BITS - 1)).astype(np.int64)] = 1
+            maps.append(np.packbits(flags).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["c", "outline"])
+
+    drawn = map_batches(sets, step, "c long, outline binary")
+    return materialise(drawn.join(wanted, "c", "left_semi").join(classes.select("c", "n", "sig"), "c"))
+
+
+def _across(open_: DataFrame, outlines: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs of classes under one key in different components that can be similar; with ``nearest``, for each class and block only the one of the nearest signature.
+
+    Each element that one outline has and the other lacks is missing from the other set, so the outlines bound the common
+    part from above: no similar pair is left out by them."""
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = open_.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "place", "c", "comp", "n", "sig")
+    dealt = open_.join(outlines, "c").withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "place", "c", "comp", "n", "sig", "outline")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    share = similarity / (1 + similarity) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[np.ndarray] = []
@@ -175,26 +202,28 @@ def _across(keyed: DataFrame, classes: DataFrame, found: DataFrame, similarity:
         for group in _grouped(batches, 3):
             x, y, mine, place, c, comp, n = (np.asarray(group.column(k)) for k in range(1, 8))
             sig = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            outline = np.frombuffer(b"".join(group.column(9).to_pylist()), np.uint64).reshape(len(c), -1)
             one = x[0] == y[0]
             left, right = (np.arange(len(c)),) * 2 if one else (np.flatnonzero(mine == x[0]), np.flatnonzero(mine == y[0]))
-            leave = (np.arange(SYMBOLS) // PER == place[0] // PER) & (np.arange(SYMBOLS) != place[0])
             for k in left:
                 to = right if nearest or not one else right[right > k]
                 to = to[(comp[to] != comp[k]) & (np.minimum(n[to], n[k]) >= similarity * np.maximum(n[to], n[k]))]
                 if not len(to):
                     continue
                 same = sig[to] == sig[k]
-                to, same = to[SYMBOLS - same.sum(1) <= FAR], same[SYMBOLS - same.sum(1) <= FAR]
+                near = SYMBOLS - same.sum(1) <= FAR
+                to, same = to[near], same[near]
+                lacks, extra = np.bitwise_count(outline[k] & ~outline[to]).sum(1, dtype=np.int64), np.bitwise_count(outline[to] & ~outline[k]).sum(1, dtype=np.int64)
+                can = np.minimum(n[k] - lacks, n[to] - extra) >= share * (n[k] + n[to])
+                to, same = to[can], same[can]
                 if not len(to):
                     continue
                 if nearest:
                     to = to[[int(same.sum(1).argmax())]]
-                    pairs.append(np.stack((np.minimum(c[k], c[to]), np.maximum(c[k], c[to]))))
-                    size += 1
-                    continue
-                agree = same.reshape(-1, CHUNKS, PER)
-                alone = (agree.sum(2)[:, :, None] - agree) == PER - 1  # keys that the two share
-                to = to[alone.reshape(-1, SYMBOLS).argmax(1) == place[0]]  # each pair only under its first key
+                else:
+                    agree = same.reshape(-1, CHUNKS, PER)
+                    alone = (agree.sum(2)[:, :, None] - agree) == PER - 1  # keys that the two share
+                    to = to[alone.reshape(-1, SYMBOLS).argmax(1) == place[0]]  # each pair only under its first key
                 if len(to):
                     pairs.append(np.stack((np.minimum(c[k], c[to]), np.maximum(c[k], c[to]))))
                     size += len(to)
@@ -224,15 +253,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     pairs = materialise(_near(stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a"), similarity))
     links = materialise(_confirm(pairs, signed, similarity))
     found = components(links)
+    open_ = _open_rows(shared, found)
+    outlines = _outlines(open_, classes, signed)
     for _ in range(NEAREST_ROUNDS):
-        more = materialise(_across(shared, classes, found, similarity, True).distinct())
+        more = materialise(_across(open_, outlines, similarity, True).distinct())
         again = materialise(_confirm(more, signed, similarity))
         pairs = pairs.unionByName(more)
         if again.isEmpty():
             break
         links = links.unionByName(again)
         found = components(links)
-    rest = materialise(_across(shared, classes, found, similarity, False).distinct().join(pairs, ["a", "b"], "left_anti"))
+        open_ = _open_rows(open_.select("key", "place", "c"), found)
+    rest = materialise(_across(open_, outlines, similarity, False).distinct().join(pairs, ["a", "b"], "left_anti"))
     again = materialise(_confirm(rest, signed, similarity))
     if not again.isEmpty():
         found = components(links.unionByName(again))
