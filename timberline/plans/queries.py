@@ -490,9 +490,9 @@ def shift_cloud(spark, d):
     return sampling.shift(fixtures.cloud(spark, d), (0.05, -0.02, 0.1)).select(*ID, *rounded(*XYZ))
 
 
-@query(_turn({c: f"{c}*1.1e0" for c in XYZ}))
+@query(_turn({c: f"{c}*1.2e0" for c in XYZ}))
 def scale_cloud(spark, d):
-    return sampling.scale(fixtures.cloud(spark, d), 1.1).select(*ID, *rounded(*XYZ))
+    return sampling.scale(fixtures.cloud(spark, d), 1.2).select(*ID, *rounded(*XYZ))
 
 
 @query(_turn({c: f"{c} + greatest(least(illuminance/50.0e0 - 0.08e0, 0.05e0), -0.05e0)" for c in XYZ}))
@@ -520,7 +520,7 @@ def _round_trip(kind: str, **options) -> Query:
         to = scratch(spark, f"clouds-{kind}")
         files.write_clouds(c.withColumn("point_id", F.row_number().over(_in_order()).cast("long")), to, kind, **options)
         back = files.read_cloud(spark, f"{to}/*.{kind}")
-        return back.select("cloud_id", *[(F.round(F.col(v), 5) + 0.0).alias(v) for v in XYZ], F.round("intensity", 0).cast("long").alias("intensity"), "r", "g", "b", F.round("illuminance", 2).alias("illuminance"))
+        return back.select("cloud_id", *[(F.round(F.col(v), 6) + 0.0).alias(v) for v in XYZ], F.round("intensity", 0).cast("long").alias("intensity"), "r", "g", "b", F.round("illuminance", 2).alias("illuminance"))
 
     return run
 
@@ -534,10 +534,10 @@ def _in_order():
 def _stored(kind: str) -> str:
     """PCD files hold single precision."""
     as_kept = (lambda c: f"cast(cast({c} as real) as double)") if kind == "pcd" else (lambda c: c)
-    return with_views(f"select cloud_id, {', '.join(f'round({as_kept(c)}, 5) + 0.0e0 as {c}' for c in XYZ)}, cast(round(intensity, 0) as bigint) as intensity, r, g, b, round(illuminance, 2) as illuminance from cloud", "cloud")
+    return with_views(f"select cloud_id, {', '.join(f'round({as_kept(c)}, 6) + 0.0e0 as {c}' for c in XYZ)}, cast(round(intensity, 0) as bigint) as intensity, r, g, b, round(illuminance, 2) as illuminance from cloud", "cloud")
 
 
-for _name, _kind, _options in (("csv", "csv", {}), ("txt", "txt", {}), ("las", "las", {"scale": 1e-5}), ("pcd_ascii", "pcd", {"data": "ascii"}), ("pcd_binary", "pcd", {"data": "binary"}), ("pcd_lzf", "pcd", {"data": "binary_compressed"})):
+for _name, _kind, _options in (("csv", "csv", {}), ("txt", "txt", {}), ("las", "las", {"scale": 1e-6}), ("pcd_ascii", "pcd", {"data": "ascii"}), ("pcd_binary", "pcd", {"data": "binary"}), ("pcd_lzf", "pcd", {"data": "binary_compressed"})):
     QUERIES[f"io_roundtrip_{_name}"] = _round_trip(_kind, **_options)
     ORACLES[f"io_roundtrip_{_name}"] = _stored(_kind)
 
