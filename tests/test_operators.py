@@ -277,3 +277,23 @@ def test_ball_query_fill(spark):
     for r in spatial.ball_query(df, df, 0.1, 3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.point_id)
     assert got == {0: [0, 1, 0], 1: [0, 1, 0], 2: [2, 2, 2]}
+
+
+def test_multi_scale_and_propagation():
+    places, points = RNG.normal(size=(50, 3)), RNG.normal(size=(50, 4))
+    layer = lambda w, n: [(RNG.normal(size=(w, n)), np.zeros(w))]
+    centres, out = scoring.multi_scale_abstraction(places, points, 8, [(0.5, 4, layer(5, 7)), (1.0, 8, layer(6, 7))])
+    assert centres.shape == (8, 3) and out.shape == (8, 11) and (out >= 0).all()
+    carried = scoring.propagate_features(places, None, centres, out, [(np.eye(11), np.zeros(11))])
+    at = [int(np.flatnonzero((places == c).all(1))[0]) for c in centres]
+    np.testing.assert_allclose(carried[at], out, rtol=1e-3, atol=1e-3)
+    assert scoring.propagate_features(places, points, centres[:1], out[:1], layer(3, 15)).shape == (50, 3)
+    assert scoring.group_features(places, points, 8, 0.5, 4)[1].shape == (8, 4, 7)
+
+
+def test_clouds_as_bytes_and_text(spark, tmp_path):
+    df = frame(spark, [(1, 2, 3), (4, 5, 6)], cloud="c")
+    packed = files.encode_clouds(df, "pcd", data="ascii").withColumn("path", F.concat("cloud_id", F.lit(".pcd")))
+    assert [(r.cloud_id, r.x) for r in files.decode_column(packed, "pcd").orderBy("point_id").collect()] == [("c", 1), ("c", 4)]
+    files.write_records_text(df.select("point_id", "x"), str(tmp_path / "t"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["0 1.0000000000e+00", "1 4.0000000000e+00", "point_id x"]

@@ -88,6 +88,45 @@ def ball_indices(centres: np.ndarray, places: np.ndarray, radius: float, k: int)
     return out
 
 
+def group_features(places: np.ndarray, points: np.ndarray | None, count: int, radius: float, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres by farthest points, and the neighbours of each relative to it with their features."""
+    centres = places[farthest_indices(places, count)]
+    picked = ball_indices(centres, places, radius, near)
+    group = places[picked] - centres[:, None]
+    return centres, group if points is None else np.concatenate((points[picked], group), 2)
+
+
+def dense_stack(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Dense layers (weight, bias; batch norm folded in), each with a rectifier."""
+    for weight, bias in layers:
+        x = np.maximum(x @ weight.T + bias, 0)
+    return x
+
+
+def multi_scale_abstraction(places: np.ndarray, points: np.ndarray | None, count: int, scales: list[tuple[float, int, list]]) -> tuple[np.ndarray, np.ndarray]:
+    """Set abstraction over several radii about the same centres; the scales' features side by side."""
+    out, centres = [], places[farthest_indices(places, count)]
+    for radius, near, layers in scales:
+        picked = ball_indices(centres, places, radius, near)
+        group = places[picked] - centres[:, None]
+        if points is not None:
+            group = np.concatenate((points[picked], group), 2)
+        out.append(dense_stack(group, layers).max(1))
+    return centres, np.concatenate(out, 1)
+
+
+def propagate_features(places: np.ndarray, points: np.ndarray | None, sampled: np.ndarray, features: np.ndarray, layers: list) -> np.ndarray:
+    """Features of sampled places carried to all places: the mean of the three nearest weighted by 1 / (d2 + 1e-8), then dense layers."""
+    if len(sampled) == 1:
+        carried = np.repeat(features, len(places), 0)
+    else:
+        d2 = ((places[:, None] - sampled[None]) ** 2).sum(2)
+        near = np.argsort(d2, 1, kind="stable")[:, :3]
+        weight = 1 / (np.take_along_axis(d2, near, 1) + 1e-8)
+        carried = (features[near] * (weight / weight.sum(1, keepdims=True))[:, :, None]).sum(1)
+    return dense_stack(carried if points is None else np.concatenate((points, carried), 1), layers)
+
+
 def fold(weight: np.ndarray, bias: np.ndarray, mean: np.ndarray, var: np.ndarray, gain: np.ndarray, shift: np.ndarray, eps: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weight and bias of a layer with its batch norm folded in."""
     s = gain / np.sqrt(var + eps)

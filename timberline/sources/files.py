@@ -253,6 +253,28 @@ def write_clouds(df: DataFrame, directory: str, kind: str, **options) -> DataFra
     return df.sparkSession.createDataFrame(done.toPandas(), "cloud_id string, path string, points long")  # a row for each file
 
 
+def encode_clouds(df: DataFrame, kind: str, **options) -> DataFrame:
+    """Each cloud as the bytes of a file: cloud_id, content. ``decode_column`` is the way back."""
+    if kind not in SUFFIXES:
+        raise ValueError(f"no writer for {kind}")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id", ignore_index=True)
+        return pd.DataFrame({"cloud_id": [pdf["cloud_id"].iloc[0]], "content": [ENCODERS[kind](_columns(pdf), **options)]})
+
+    return conform(df).groupBy("cloud_id").applyInPandas(pack, "cloud_id string, content binary")
+
+
+def write_records_text(df: DataFrame, path: str, header: bool = True) -> None:
+    """Text lines of all columns, floats as %.10e and integers as they are, with the names first if ``header``."""
+    formats = {"double": "%.10e", "float": "%.10e"}
+    cells = [F.format_string(formats[k], F.col(f"`{c}`").cast("double")) if k in formats else F.col(f"`{c}`").cast("string") for c, k in df.dtypes]
+    lines = df.select(F.concat_ws(" ", *cells).alias("value"))
+    if header:
+        lines = df.sparkSession.createDataFrame([(" ".join(df.columns),)], "value string").unionByName(lines)
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_cloud(df: DataFrame, path: str, **options) -> None:
     """Write all points to one file of the kind its suffix says."""
     kind = _suffix(path)
