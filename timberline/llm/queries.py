@@ -7,6 +7,7 @@ from timberline.llm.langid import op10
 from timberline.llm.metricjoin import op3
 from timberline.llm.mixing import op7
 from timberline.llm.neardup import op9
+from timberline.llm.oracles import DECONTAMINATION, METRIC_JOIN, NEAR_DUPLICATES
 from timberline.llm.sharding import op1
 from timberline.llm.suffixdedup import op8
 from timberline.llm.tokens import op4
@@ -27,4 +28,8 @@ QUERIES = {
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_metric_range_join": METRIC_JOIN,
+    "op6_winnowing_decontamination": DECONTAMINATION,
+    "op9_minhash_near_duplicates": NEAR_DUPLICATES,
+}
