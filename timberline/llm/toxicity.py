@@ -21,7 +21,7 @@ from timberline.llm.common import LOWER, annotate, crc_of_id, mix, odd_numbers,
 from timberline.llm.decontaminate import WORD
 
 #: Labelled documents used in training (those of the least hashes of their ids), and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 1 << 16
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 1 << 16
 BUCKETS, COUNTERS = 1 << 18, 1 << 22
 HEADS, TAILS = (3, 4, 5, 6, 7), (3, 4)
 WINDOW, MOST_WINDOWS, EPOCHS, BATCH = 24, 24_000, 3, 256
