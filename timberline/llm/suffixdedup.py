@@ -7,8 +7,8 @@ counted before they are shuffled; one of each is sorted, and a run that occurs t
 runs that share their hash with a different run (or with themselves), goes through the suffix sort: sort sampled triples
 (positions 1 and 2 modulo 3), recurse on their names, merge the remaining suffixes, then compare the prefixes of neighbours.
 
-Buckets too large for one sort are settled by naming each whole window with 128 bits and counting names, which needs no
-group in one place. All texts are named by 128 bits of hash, so copies share their spans and no row number is relied on.
+Crowded buckets are parted by what their windows have in common, twice if need be, and equal parts counted again; what is
+crowded even then is settled by naming each window with 128 bits and counting names, which needs no group in one place. All texts are named by 128 bits of hash, so copies share their spans and no row number is relied on.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from timberline.llm.common import bit_map, map_batches, mark, materialise, mix, odd_numbers, read, slices
 
 LENGTH, GRAM = 400, 32
-#: Symbols sorted together (names must stay under 2**21), and the size from which a bucket is settled by names.
-SORT_SYMBOLS, HOT_BYTES = 1_500_000, 600_000
+#: Symbols sorted together (names must stay under 2**21), and the size from which a bucket is crowded.
+SORT_SYMBOLS, HOT_BYTES = 1_900_000, 1_200_000
+#: Starts in a part of a crowded bucket's string, first and if that is still crowded.
+STEPS = (32, 4)
 _FACTORS = odd_numbers(20, 61)
 
 
@@ -92,24 +94,30 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, which of its places start ``length`` bytes that also start at another place of any of the strings."""
-    data = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
+def repeated_starts(strings: list[np.ndarray], length: int, bits: int = 8) -> list[np.ndarray]:
+    """For each string of symbols below 2**bits, which of its places start ``length`` symbols that also start at another place of any of the strings."""
+    gap = np.zeros(1, np.int64)
+    data = np.concatenate([x for s in strings for x in (s, gap)]).astype(np.int64)
     ends = np.cumsum([len(s) + 1 for s in strings])
-    text = data.astype(np.int64) + 2
+    text = data + 2
     text[ends - 1] = 1
     order = suffix_array(text)
     stop = np.repeat(ends - 1, np.diff(np.append(0, ends)))
     whole = order[order + length <= stop[order]]  # neighbours among these are neighbours of those with equal prefixes
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    each = 64 // bits
+    wide = np.concatenate((data, np.zeros(each, np.int64))).astype(np.uint64)
     words = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        words = words << np.uint64(8) | wide[k : k + len(data)]
+    for k in range(each):
+        words = words << np.uint64(bits) | wide[k : k + len(data)]
     a, b = whole[:-1], whole[1:]
-    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    for k in steps:
+    for k in [*range(0, length - each + 1, each), *([length - each] if length % each else [])]:
+        if length < each:
+            break
         same = words[a + k] == words[b + k]
         a, b = a[same], b[same]
+    for k in range(length if length < each else 0):
+        same = data[a + k] == data[b + k]
+        a, b = a[same], b[same]
     found = np.zeros(len(data), bool)
     found[a] = found[b] = True
     return [found[e - len(s) - 1 : e - 1] for s, e in zip(strings, ends.tolist(), strict=True)]
@@ -180,30 +188,39 @@ def _cut_out(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 SPAN = "k1 long, k2 long, a long, b long"
 
 
-def _sorted_spans(strings: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of the strings that occur once, bucket by bucket."""
+def _sorted_spans(strings: DataFrame, length: int, step: int | None = None) -> DataFrame:
+    """Repeated spans of the strings that occur once, bucket by bucket (m, k1, k2, first, c, string, lead).
+
+    With ``step``, the strings are parts whose windows all hold the bytes that their bucket has in common, from ``lead``
+    on. These bytes become one symbol of the bucket, and a window is then ``step`` symbols long."""
     dealt = strings.repartition("m").sortWithinPartitions("m")
+    common = 0 if step is None else length - step + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = bucket = 0
 
         def flush() -> pa.RecordBatch:
             spans = []
-            for (k1, k2, first, c, string), found in zip(held, repeated_starts([x[4] for x in held], length), strict=True):
+            found = repeated_starts([x[4] for x in held], length) if step is None else repeated_starts([x[4] for x in held], step, 16)
+            for (k1, k2, first, c, _), own in zip(held, found, strict=True):
                 if c == 1:
-                    spans += [(k1, k2, first + a, first + b + length) for a, b in _runs(found)]
+                    spans += [(k1, k2, first + a, first + b + length) for a, b in _runs(own)]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in spans], pa.int64()) for k in range(4)], ["k1", "k2", "a", "b"])
 
         last = None
         for batch in batches:
-            for m, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if m != last and size > SORT_SYMBOLS - 2 * HOT_BYTES:
-                    yield flush()
-                    held, size = [], 0
-                last = m
-                held.append(tuple(row))
-                size += len(row[4]) + 1
+            for m, k1, k2, first, c, raw, lead in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if m != last:
+                    if size > SORT_SYMBOLS - HOT_BYTES:
+                        yield flush()
+                        held, size, bucket = [], 0, 0
+                    last, bucket = m, bucket + 1
+                symbols = np.frombuffer(raw, np.uint8)
+                if step is not None:
+                    symbols = np.concatenate((symbols[:lead].astype(np.int64), [255 + bucket], symbols[lead + common :]))
+                held.append((k1, k2, first, c, symbols))
+                size += len(symbols) + 1
         if held:
             yield flush()
 
@@ -228,6 +245,56 @@ def _named_spans(strings: DataFrame, length: int) -> DataFrame:
     return rows.where("c = 1").join(again, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b"))
 
 
+def _parted(strings: DataFrame, step_: int, length: int) -> DataFrame:
+    """Cut the strings of crowded buckets into runs of at most ``step_`` starts, and deal these into finer buckets.
+
+    A start's offset is its distance to the first place at or after it where the least hash (``gram``) occurs. Starts of one string
+    whose offsets to one such place have the same multiple of ``step_`` below them form a run; all their windows hold the
+    bytes that the windows of the least and the greatest such offset share. Equal windows have equal offsets and equal
+    shared bytes, so a hash of both names the finer bucket."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for r in range(len(batch)):
+            k1, k2, first, c, raw, gram = (batch.column(k)[r].as_py() for k in range(1, 7))
+            places = np.flatnonzero(block_hash(np.frombuffer(raw, np.uint8), GRAM).view(np.int64) == gram)
+            starts = np.arange(len(raw) - length + 1)
+            anchor = places[np.searchsorted(places, starts)]
+            step_of = (anchor - starts) // step_
+            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (step_of[1:] != step_of[:-1])) + 1
+            heads, tails = np.append(0, cut), np.append(cut, len(starts)) - 1
+            names, parts, leads = [], [], []
+            for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
+                low = int(step_of[h]) * step_
+                core = int(anchor[h]) - low
+                names.append(xxhash.xxh3_64_intdigest(raw[core : core - step_ + 1 + length], seed=low * 131 + step_))
+                parts.append(raw[h : t + length])
+                leads.append(core - h)
+            one = np.ones(len(parts), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(one * k1), pa.array(one * k2), pa.array(heads + first), pa.array(one * c), pa.array(parts, pa.binary()), pa.array(one * gram), pa.array(leads, pa.int64())], ["m", "k1", "k2", "first", "c", "string", "gram", "lead"])
+
+    return map_batches(strings.select("m", "k1", "k2", "first", "c", "string", "gram"), step, "m long, k1 long, k2 long, first long, c long, string binary, gram long, lead long")
+
+
+def _settled(strings: DataFrame, length: int, steps: tuple[int, ...], step: int | None = None) -> DataFrame:
+    """Repeated spans of strings of any buckets: sort the small ones, part the others and look again; in the end name each window."""
+    common = 0 if step is None else length - step
+    buckets = strings.groupBy("m").agg((F.sum(F.octet_length("string") - common) > HOT_BYTES).alias("hot"))
+    judged = materialise(strings.join(buckets, "m"))
+    found = _sorted_spans(judged.where("not hot").select("m", "k1", "k2", "first", "c", "string", "lead"), length, step)
+    hot = judged.where("hot").drop("hot", "lead").repartition("k1", "k2", "first")  # a crowded bucket is worked on by all tasks
+    if hot.isEmpty():
+        return found
+    if not steps:
+        return found.unionByName(_named_spans(hot.drop("gram"), length))
+    parts = materialise(_parted(hot, steps[0], length).withColumns({"f1": F.xxhash64("string"), "f2": F.xxhash64(F.lit(7), "string")}))
+    each = materialise(parts.groupBy("m", "f1", "f2").agg(F.sum("c").alias("all"), F.min(F.struct("k1", "k2", "first")).alias("of")))
+    whole = parts.where("c = 1").join(each.where("all > 1").select("m", "f1", "f2"), ["m", "f1", "f2"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.octet_length("string")).alias("b"))
+    mixed = each.groupBy("m").agg(F.count("*").alias("n"), F.sum((F.col("all") == 1).cast("int")).alias("once")).where("once > 0 and n > 1").select("m")
+    wanted = each.join(mixed, "m").select("m", "of.*", "all")
+    left = parts.drop("c", "f1", "f2").join(wanted, ["m", "k1", "k2", "first"]).select("m", "k1", "k2", "first", F.col("all").alias("c"), "string", "gram", "lead")
+    return found.unionByName(whole).unionByName(_settled(left, length, steps[1:], steps[0]))
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans to remove (k1, k2, a, b; they may overlap) of texts (k1, k2, text)."""
     runs = materialise(_find_runs(texts, length))
@@ -235,12 +302,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     near = materialise(runs.join(shared, "m"))
     each = materialise(near.groupBy("m", "f1", "f2").agg(F.count("*").alias("c"), F.max("times").alias("times"), F.min(F.struct("k1", "k2", "first", "last")).alias("of")))
     whole = near.join(each.where("c > 1").select("m", "f1", "f2"), ["m", "f1", "f2"]).select("k1", "k2", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    buckets = each.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.max("times").alias("most"), F.sum(F.col("of.last") - F.col("of.first") + length + 1).alias("size"))
-    buckets = buckets.where("once > 0 and (n > 1 or most > 1)").select("m", (F.col("size") > HOT_BYTES).alias("hot"))
-    wanted = each.join(buckets, "m").select("of.*", "m", "c", "hot")
-    strings = materialise(_cut_out(wanted, texts, length).join(buckets, "m"))
-    small, hot = strings.where("not hot").drop("hot"), strings.where("hot").drop("hot")
-    return whole.unionByName(_sorted_spans(small, length)).unionByName(_named_spans(hot, length))
+    buckets = each.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.max("times").alias("most"))
+    wanted = each.join(buckets.where("once > 0 and (n > 1 or most > 1)").select("m"), "m").select("of.*", "m", "c")
+    strings = materialise(_cut_out(wanted, texts, length))
+    return whole.unionByName(_settled(strings.withColumns({"gram": F.col("m"), "lead": F.lit(0).cast("long")}), length, STEPS))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
