@@ -37,11 +37,13 @@ def units(column: pa.Array, dim: int) -> np.ndarray:
         return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
-def _matches(home: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs have a cosine of at least ``least`` in double precision."""
-    rough = home.astype(np.float32) @ others.astype(np.float32).T
-    out = rough >= least
-    i, j = np.nonzero(np.abs(rough - np.float32(least)) < UNSURE)
+def _matches(home: np.ndarray, others: np.ndarray, near: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray | None:
+    """Which pairs have a cosine of at least ``least`` in double precision (None: none); ``near`` holds both in single precision."""
+    rough = near[0] @ near[1].T
+    out = rough >= np.float32(least - UNSURE)
+    if not out.any():
+        return None
+    i, j = np.nonzero(out & (rough < np.float32(least + UNSURE)))
     for at in range(0, len(i), 1 << 16):
         a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         out[a, b] = np.einsum("ij,ij->i", home[a], others[b]) >= least
@@ -118,6 +120,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, home, names, counts = None, np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        single: np.ndarray | None = None
         done: list[pa.RecordBatch] = []
 
         def counted() -> pa.RecordBatch:
@@ -134,14 +137,18 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
             if now != (cell, block):
                 if now is not None:
                     yield counted()
-                now, home, names, counts = (cell, block), np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                now, single = (cell, block), None
+                home, names, counts = np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
             if role == 0:
                 home, names, counts = np.concatenate((home, v)), np.append(names, c), np.append(counts, np.zeros(len(c), np.int64))
                 continue
+            if single is None:
+                single = home.astype(np.float32)
+            others = v.astype(np.float32)
             for i in range(0, len(home), 1024):
                 for j in range(0, len(c), 1024):
-                    hits = _matches(home[i : i + 1024], v[j : j + 1024], cosine)
-                    if not hits.any():
+                    hits = _matches(home[i : i + 1024], v[j : j + 1024], (single[i : i + 1024], others[j : j + 1024]), cosine)
+                    if hits is None:
                         continue
                     hits &= names[i : i + 1024, None] != c[None, j : j + 1024]
                     counts[i : i + 1024] += hits @ m[j : j + 1024]
