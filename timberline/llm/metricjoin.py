@@ -3,8 +3,9 @@
 Unit vectors of cosine c are sqrt(2 - 2c) apart, so a cosine bound is a radius. Pivots, a sample of the vectors, divide
 them into cells of the nearest pivot. By the triangle inequality a vector y can only be within r of a vector at home in
 the cell of pivot p if d(y, p) <= d(y, own pivot) + 2r and d(y, p) <= (radius of the cell) + r; it is copied to those
-cells. Each cell then compares its home vectors with what came to it, in blocks and by itself. Every vector is at home once,
-so its links are counted once; of the links themselves only a spanning set of each block is written.
+of them that come before its own. Each cell then compares its home vectors with each other and with what came to it, in
+blocks and by itself. So a pair meets once, in the first of its two cells, and counts for both; of the links themselves
+only a spanning set of each block is written.
 """
 
 from __future__ import annotations
@@ -101,13 +102,14 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d = distances(batch.column(2))
-        row, cell = np.nonzero((d <= d.min(1, keepdims=True) + 2 * radius + 1e-9) & (d <= reach[None, :] + 1e-9))
         home = d.argmin(1)
+        before = np.arange(d.shape[1])[None, :] <= home[:, None]  # a pair of two cells meets in the first of them
+        row, cell = np.nonzero((d <= d.min(1, keepdims=True) + 2 * radius + 1e-9) & (d <= reach[None, :] + 1e-9) & before)
         c = np.asarray(batch.column(0))
         take, cells_, block, role = [], [], [], []
         for b in range(blocks.max()):  # a crowded cell is compared block by block
             own = blocks[cell] > b
-            take.append(row[own]), cells_.append(cell[own]), block.append(np.full(own.sum(), b)), role.append(np.ones(own.sum(), int))
+            take.append(row[own]), cells_.append(cell[own]), block.append(np.full(own.sum(), b)), role.append(np.where(cell[own] == home[row[own]], 1, 2))
         take.append(np.arange(len(c))), cells_.append(home), block.append(c % blocks[home]), role.append(np.zeros(len(c), int))
         take, cells_, block, role = map(np.concatenate, (take, cells_, block, role))
         for at in range(0, len(take), 8192):
@@ -119,7 +121,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, home, names, counts = None, np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        now, home, names, counts, times = None, np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         single: np.ndarray | None = None
         done: list[pa.RecordBatch] = []
 
@@ -138,10 +140,11 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
                 if now is not None:
                     yield counted()
                 now, single = (cell, block), None
-                home, names, counts = np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                home, names, counts, times = np.zeros((0, dim)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             if role == 0:
-                home, names, counts = np.concatenate((home, v)), np.append(names, c), np.append(counts, np.zeros(len(c), np.int64))
+                home, names, counts, times = np.concatenate((home, v)), np.append(names, c), np.append(counts, np.zeros(len(c), np.int64)), np.append(times, m)
                 continue
+            visits = np.zeros(len(c), np.int64)
             if single is None:
                 single = home.astype(np.float32)
             others = v.astype(np.float32)
@@ -152,17 +155,22 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
                         continue
                     hits &= names[i : i + 1024, None] != c[None, j : j + 1024]
                     counts[i : i + 1024] += hits @ m[j : j + 1024]
+                    if role == 2:
+                        visits[j : j + 1024] += times[i : i + 1024] @ hits
                     a, b = _spanning(hits, names[i : i + 1024], c[j : j + 1024])
                     if len(a):
                         done.append(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "n"]))
             yield from done
             done.clear()
+            met = np.flatnonzero(visits)
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(c[met]), pa.nulls(len(met), pa.int64()), pa.array(visits[met])], ["a", "b", "n"])
         if now is not None:
             yield counted()
 
     found = materialise(dealt.mapInArrow(join, "a long, b long, n long"))
     near = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    links = found.where("n is not null").select(F.col("a").alias("c"), "n")
+    links = found.where("n is not null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
     placed = classes.join(links, "c", "left").join(near, F.col("c") == F.col("id"), "left").select("f1", "f2", "m", F.coalesce("n", F.lit(0)).alias("n"), "least", F.coalesce("component_id", "c").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(roots, "root").select("f1", "f2", (F.col("n") + F.col("m") - 1).alias("n_links"), "component_id", F.lit(True).alias("valid"))
