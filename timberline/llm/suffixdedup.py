@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from timberline.llm.common import bit_map, map_batches, mark, materialise, mix, odd_numbers, read, slices
 
 LENGTH, GRAM = 400, 32
-#: Symbols sorted together (names must stay under 2**21), and the size from which a bucket is crowded.
-SORT_SYMBOLS, HOT_BYTES = 1_900_000, 1_200_000
+#: Symbols of small buckets that are sorted together, and the size from which a bucket is crowded (names must stay under 2**21).
+SORT_SYMBOLS, HOT_BYTES = 600_000, 1_000_000
 #: Starts in a part of a crowded bucket's string, first and if that is still crowded.
-STEPS = (32, 4)
+STEPS = (36, 6)
 _FACTORS = odd_numbers(20, 61)
 
 
@@ -189,7 +189,7 @@ SPAN = "k1 long, k2 long, a long, b long"
 
 
 def _sorted_spans(strings: DataFrame, length: int, step: int | None = None) -> DataFrame:
-    """Repeated spans of the strings that occur once, bucket by bucket (m, k1, k2, first, c, string, lead).
+    """Repeated spans of the strings that occur once, bucket by bucket (m, k1, k2, first, c, string, lead, size of the bucket).
 
     With ``step``, the strings are parts whose windows all hold the bytes that their bucket has in common, from ``lead``
     on. These bytes become one symbol of the bucket, and a window is then ``step`` symbols long."""
@@ -210,9 +210,9 @@ def _sorted_spans(strings: DataFrame, length: int, step: int | None = None) -> D
 
         last = None
         for batch in batches:
-            for m, k1, k2, first, c, raw, lead in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for m, k1, k2, first, c, raw, lead, full in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if m != last:
-                    if size > SORT_SYMBOLS - HOT_BYTES:
+                    if held and size + full > SORT_SYMBOLS:
                         yield flush()
                         held, size, bucket = [], 0, 0
                     last, bucket = m, bucket + 1
@@ -278,10 +278,10 @@ def _parted(strings: DataFrame, step_: int, length: int) -> DataFrame:
 def _settled(strings: DataFrame, length: int, steps: tuple[int, ...], step: int | None = None) -> DataFrame:
     """Repeated spans of strings of any buckets: sort the small ones, part the others and look again; in the end name each window."""
     common = 0 if step is None else length - step
-    buckets = strings.groupBy("m").agg((F.sum(F.octet_length("string") - common) > HOT_BYTES).alias("hot"))
-    judged = materialise(strings.join(buckets, "m"))
-    found = _sorted_spans(judged.where("not hot").select("m", "k1", "k2", "first", "c", "string", "lead"), length, step)
-    hot = judged.where("hot").drop("hot", "lead").repartition("k1", "k2", "first")  # a crowded bucket is worked on by all tasks
+    buckets = strings.groupBy("m").agg(F.sum(F.octet_length("string") + 1 - common).alias("size"))
+    judged = materialise(strings.join(buckets, "m").withColumn("hot", F.col("size") > HOT_BYTES))
+    found = _sorted_spans(judged.where("not hot").select("m", "k1", "k2", "first", "c", "string", "lead", "size"), length, step)
+    hot = judged.where("hot").drop("hot", "lead", "size").repartition("k1", "k2", "first")  # a crowded bucket is worked on by all tasks
     if hot.isEmpty():
         return found
     if not steps:
