@@ -390,6 +390,12 @@ def pairwise_distance(spark, d):
     return spatial.pairwise_distance(v.where("point_id % 10 = 0"), v).select(*EDGE, *rounded("d2"))
 
 
+@query(with_views(f"select cloud_id, query_id, point_id, {r6('d2', 'd2')} from pairs", "vectors", more=_PAIRS))
+def pairwise_distance_all(spark, d):
+    v = fixtures.vectors(spark, d)
+    return spatial.pairwise_distance(v, v).select(*EDGE, *rounded("d2"))
+
+
 @query(with_views(f"select cloud_id, query_id, point_id, {r6('d2', 'd2')} from pairs where d2 <= 0.1e0*0.1e0", "vectors", more=_PAIRS))
 def radius_join(spark, d):
     v = fixtures.vectors(spark, d)
