@@ -7,12 +7,14 @@ of these, fitted on other labelled documents, give the posterior. Rates r >= 0 t
 
     (A - T)' W (A - T) / total**2  +  ridge * sum_i t_i (r_i - 1)**2 / total,   A_d = sum_i r_i t_i p_id,
 
-by projected gradient. W is the inverse of the Gram matrix of the posteriors, under which the unconstrained problem is
-round, so that few rounds suffice: a round is one aggregate over a narrow table, with three sums as its result.
+exactly. W is the inverse of the Gram matrix of the posteriors. The best rates are r_i = max(least, 1 + u'p_i) with one
+number u_d a domain, so Newton's method on u (the convex dual, with step halving) finds them: a pass is one aggregate over
+a narrow table, with ten sums as its result, and the passes end at the optimum only.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -26,7 +28,9 @@ WEIGHTS = {"good": 0.70, "poor": 0.20, "toxic": 0.10}
 #: Labelled documents (of the least hashes) that the classifier is fitted on; half of them for each of its two steps.
 SAMPLE_ROWS = 20_000
 BUCKETS, SMOOTHING = 1 << 16, 4.0
-ROUNDS, CLOSE, RIDGE = 20, 1e-3, 1e-4
+CLOSE, RIDGE = 1e-3, 1e-4
+#: Optimality that ends the fit (share of the total), and the passes after which it raises.
+EXACT, MOST_PASSES = 1e-5, 200
 WORDS = r"[\s.,;:!?|#$%&*()\[\]\"]+"
 
 
@@ -79,35 +83,60 @@ def fit_rates(members: DataFrame, weights: dict[str, float], keep_all: bool = Fa
     """The rate of a row as an expression of its ``p``, and what it reached.
 
     Targets share out the corpus's own total, or with ``keep_all`` the least total at which no domain has to shrink.
-    With ``keep_all`` no rate is below 1. The rounds end when all totals are within CLOSE of the targets, or stay where
-    they are (targets that no rates can meet)."""
+    With ``keep_all`` no rate is below 1. The passes end at the optimum; ``met`` tells whether all totals are then within
+    CLOSE of the targets (some targets no rates can meet)."""
     D = range(len(DOMAINS))
     pairs = [(d, e) for d in D for e in D if e >= d]
     p = [F.col("p")[d] for d in D]
-    sums = lambda r: list(members.agg(*[F.coalesce(F.sum(r * F.col("tokens") * p[d]), F.lit(0.0)) for d in D]).first())
-    first = members.agg(*[F.coalesce(F.sum(F.col("tokens") * p[d]), F.lit(0.0)) for d in D], *[F.coalesce(F.sum(F.col("tokens") * p[d] * p[e]), F.lit(0.0)) for d, e in pairs]).first()
-    now = list(first)[: len(DOMAINS)]
-    total = sum(now) or 1.0
-    gram = np.zeros((len(DOMAINS), len(DOMAINS)))
-    for (d, e), x in zip(pairs, list(first)[len(DOMAINS) :], strict=True):
-        gram[d, e] = gram[e, d] = x / total
-    inverse = np.linalg.inv(gram + 1e-6 * np.eye(len(DOMAINS)))
-    aim = [weights[d] / sum(weights.values()) for d in DOMAINS]
-    scale = max([now[d] / total / aim[d] for d in D if aim[d] > 0], default=1.0) if keep_all else 1.0
-    goal = [a * scale * total for a in aim]
+    tokens = F.col("tokens").cast("double")
     least = 1.0 if keep_all else 0.0
-    rate, rounds = F.lit(1.0), 0
-    for rounds in range(1, ROUNDS + 1):
-        off = np.array([(now[d] - goal[d]) / total for d in D])
-        if np.abs(off).max() < CLOSE * scale:
-            break
-        push = inverse @ off
-        moved = rate * (1 - RIDGE) + RIDGE - reduce(lambda a, b: a + b, [p[d] * F.lit(float(push[d])) for d in D])
-        rate, before = F.greatest(F.lit(least), moved), now
-        now = sums(rate)
-        if max(abs(x - y) for x, y in zip(now, before, strict=True)) < CLOSE * total / 20:
-            break
-    return rate, {"rounds": rounds, "totals": dict(zip(DOMAINS, now, strict=True)), "targets": dict(zip(DOMAINS, goal, strict=True))}
+
+    def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """One pass: totals by domain, the Gram matrix of the rows above the least rate, and the sum of the rates' integrals."""
+        s = reduce(lambda a, b: a + b, [p[d] * F.lit(float(at[d])) for d in D])
+        free = s >= least - 1
+        part = F.when(free, s + s * s / 2).otherwise(F.lit(least) * s - (least - 1) ** 2 / 2)
+        weighed = F.greatest(F.lit(least), 1 + s) * tokens
+        sums = [*[weighed * p[d] for d in D], *[F.when(free, tokens * p[d] * p[e]).otherwise(0.0) for d, e in pairs], tokens * part]
+        got = list(members.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{k}") for k, x in enumerate(sums)]).first())
+        square = np.zeros((len(D), len(D)))
+        for (d, e), x in zip(pairs, got[len(D) : -1], strict=True):
+            square[d, e] = square[e, d] = x
+        return np.array(got[: len(D)]), square, got[-1]
+
+    at = np.zeros(len(D))
+    now, gram, inner = look(at)
+    total = float(now.sum()) or 1.0
+    spread = RIDGE * (gram / total + 1e-6 * np.eye(len(D)))
+    aim = np.array([weights[d] / sum(weights.values()) for d in DOMAINS])
+    scale = max([now[d] / total / aim[d] for d in D if aim[d] > 0], default=1.0) if keep_all else 1.0
+    goal = aim * scale
+    value = lambda at, inner: float(at @ spread @ at / 2 + inner / total - goal @ at)
+    slope, height, passes = spread @ at + now / total - goal, value(at, inner), 1
+    while np.abs(slope).max() > EXACT * scale:
+        step, share = -np.linalg.solve(spread + gram / total, slope), 1.0
+        while True:
+            if passes == MOST_PASSES:
+                raise RuntimeError(f"fit_rates did not reach its optimum in {MOST_PASSES} passes: {np.abs(slope).max():.2e} of the total is left")
+            to = at + share * step
+            now, square, inner = look(to)
+            passes += 1
+            found, lower = spread @ to + now / total - goal, value(to, inner)
+            if np.abs(found).max() <= EXACT * scale or lower <= height + 1e-4 * share * float(slope @ step) + 1e-12 * abs(height):
+                break
+            share /= 2
+        at, gram, slope, height = to, square, found, lower
+    rate = F.greatest(F.lit(least), 1 + reduce(lambda a, b: a + b, [p[d] * F.lit(float(at[d])) for d in D]))
+    met = bool(np.abs(now / total - goal).max() < CLOSE * scale)
+    return rate, {"rounds": passes, "met": met, "totals": dict(zip(DOMAINS, now.tolist(), strict=True)), "targets": dict(zip(DOMAINS, (goal * total).tolist(), strict=True))}
+
+
+def _fit(members: DataFrame, weights: dict[str, float], keep_all: bool) -> Column:
+    """The rate; targets that no rates can meet are warned of."""
+    rate, report = fit_rates(members, weights, keep_all)
+    if not report["met"] and any(report["totals"].values()):
+        warnings.warn(f"mixing: the targets are out of reach: {report['targets']}; the nearest totals are {report['totals']}", stacklevel=3)
+    return rate
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -116,7 +145,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     A null or empty text counts as one token without words and gets the posterior of such. Rows repeated under one id
     are rows of their own. Without labels every posterior is equal and the rates share out the total evenly."""
     members = materialise(posteriors(docs, labels, id, text, sample_rows))
-    rate, _ = fit_rates(members, weights)
+    rate = _fit(members, weights, False)
     return members.select(F.col("id").alias(id), "tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], rate.alias("rate"))
 
 
@@ -126,7 +155,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     With ``keep_all`` every row stays at least once, and only rows of scarce domains repeat. Rows that stay as they are
     aren't shuffled."""
     members = materialise(posteriors(docs, labels, id, text, sample_rows))
-    rate, _ = fit_rates(members, weights, keep_all)
+    rate = _fit(members, weights, keep_all)
     chance = F.shiftrightunsigned(F.xxhash64("id", "name", F.lit(9)), 11) / float(1 << 53)
     times = members.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.floor(rate + chance).cast("int").alias("_times")).where("_times <> 1").distinct()
     other = materialise(times)
