@@ -8,7 +8,8 @@ runs that share their hash with a different run (or with themselves), goes throu
 (positions 1 and 2 modulo 3), recurse on their names, merge the remaining suffixes, then compare the prefixes of neighbours.
 
 Crowded buckets are parted by what their windows have in common, twice if need be, and equal parts counted again; what is
-crowded even then is settled by naming each window with 128 bits and counting names, which needs no group in one place. All texts are named by 128 bits of hash, so copies share their spans and no row number is relied on.
+crowded even then is sorted as DataFrames (``suffixsort``), which needs no group in one place. All texts are named by 128
+bits of hash, so copies share their spans and no row number is relied on.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import bit_map, map_batches, mark, materialise, mix, odd_numbers, read, slices
+from timberline.llm.suffixsort import repeated_places
 
 LENGTH, GRAM = 400, 32
 #: Symbols of small buckets that are sorted together, and the size from which a bucket is crowded (names must stay under 2**21).
@@ -227,22 +229,24 @@ def _sorted_spans(strings: DataFrame, length: int, step: int | None = None) -> D
     return dealt.mapInArrow(run, SPAN)
 
 
-def _named_spans(strings: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of any size: a row for each start, counted by the name of its window."""
+def _spread_spans(strings: DataFrame, length: int, step: int | None = None) -> DataFrame:
+    """The same for buckets of any size: one suffix sort of all their strings, spread over all tasks."""
+    size, common = (length, 0) if step is None else (step, length - step + 1)
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for r in range(len(batch)):
-            data = np.frombuffer(batch.column(5)[r].as_buffer(), np.uint8)
-            h1, h2 = block_hash(data, length, 7), block_hash(data, length, 1 << 20)
-            n, one = len(h1), np.ones(len(h1), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(one * batch.column(k)[r].as_py()) for k in (1, 2)), pa.array(np.arange(n) + batch.column(3)[r].as_py()), pa.array(one * batch.column(4)[r].as_py())],
-                ["h1", "h2", "k1", "k2", "a", "c"],
-            )
+    def symbols(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for m, raw, lead in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            own = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
+            if step is not None:  # the bytes that all windows of the bucket share become one symbol of its own
+                own = np.concatenate((own[:lead], [(m & ((1 << 62) - 1)) + 512], own[lead + common :]))
+            out.append(own)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["t", "s"])
 
-    rows = map_batches(strings, step, "h1 long, h2 long, k1 long, k2 long, a long, c long")
-    again = rows.groupBy("h1", "h2").agg(F.sum("c").alias("all")).where("all > 1").select("h1", "h2")
-    return rows.where("c = 1").join(again, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b"))
+    numbered = materialise(strings.withColumn("t", F.monotonically_increasing_id()))
+    spelt = materialise(map_batches(numbered.select("t", "m", "string", "lead"), symbols, "t long, s array<long>"))
+    found = repeated_places(spelt, size)
+    of = numbered.where("c = 1").select("t", "k1", "k2", "first")
+    return found.join(of, "t").select("k1", "k2", (F.col("first") + F.col("o")).alias("a"), (F.col("first") + F.col("o") + length).alias("b"))
 
 
 def _parted(strings: DataFrame, step_: int, length: int) -> DataFrame:
@@ -276,16 +280,16 @@ def _parted(strings: DataFrame, step_: int, length: int) -> DataFrame:
 
 
 def _settled(strings: DataFrame, length: int, steps: tuple[int, ...], step: int | None = None) -> DataFrame:
-    """Repeated spans of strings of any buckets: sort the small ones, part the others and look again; in the end name each window."""
+    """Repeated spans of strings of any buckets: sort the small ones, part the others and look again; in the end sort all that is left as one, spread over all tasks."""
     common = 0 if step is None else length - step
     buckets = strings.groupBy("m").agg(F.sum(F.octet_length("string") + 1 - common).alias("size"))
     judged = materialise(strings.join(buckets, "m").withColumn("hot", F.col("size") > HOT_BYTES))
     found = _sorted_spans(judged.where("not hot").select("m", "k1", "k2", "first", "c", "string", "lead", "size"), length, step)
-    hot = judged.where("hot").drop("hot", "lead", "size").repartition("k1", "k2", "first")  # a crowded bucket is worked on by all tasks
+    hot = judged.where("hot").drop("hot", "size").repartition("k1", "k2", "first")  # a crowded bucket is worked on by all tasks
     if hot.isEmpty():
         return found
     if not steps:
-        return found.unionByName(_named_spans(hot.drop("gram"), length))
+        return found.unionByName(_spread_spans(hot, length, step))
     parts = materialise(_parted(hot, steps[0], length).withColumns({"f1": F.xxhash64("string"), "f2": F.xxhash64(F.lit(7), "string")}))
     each = materialise(parts.groupBy("m", "f1", "f2").agg(F.sum("c").alias("all"), F.min(F.struct("k1", "k2", "first")).alias("of")))
     whole = parts.where("c = 1").join(each.where("all > 1").select("m", "f1", "f2"), ["m", "f1", "f2"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.octet_length("string")).alias("b"))
