@@ -2,7 +2,7 @@
 
 The field tags each word as toxic or not. Its features are the word, its first 3 to 7 and last 3 and 4 bytes, and its
 neighbours, hashed into one table of weights. Labels exist for documents only, so the words to learn from are labelled
-first: a word of a toxic document counts as toxic if the word or one of its beginnings is found in toxic documents far more
+first: a word of a toxic document counts as toxic if the word or one of its beginnings is used in toxic documents far more
 often than chance would have it, and words of clean documents count as clean. Training is stochastic gradient descent on
 the exact likelihood. A document's score is a logistic function of its marginals from the forward-backward pass, fitted on
 training documents that the field hasn't seen; the words with a marginal of 0.5 or more are the offending spans.
@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import LOWER, annotate, crc_of_id, mix, odd_numbers, read, slices, word_hashes
+from timberline.llm.common import LOWER, annotate, crc_of_id, materialise, mix, odd_numbers, read, slices, word_hashes
 from timberline.llm.decontaminate import WORD
 
-#: Labelled documents used in training (those of the least hashes of their ids), and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 1 << 16
+#: Labelled documents used in training (of either class those of the least hashes of their ids, toxic ones up to half), and
+#: the characters used of each; of a longer one, those from a place that its hash tells.
+SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 1 << 16
+#: Uses of a word in one document that count, and the share of toxic documents among all uses from which it may be toxic.
+USES, TOXIC_SHARE = 8, 0.75
 BUCKETS, COUNTERS = 1 << 18, 1 << 22
 HEADS, TAILS = (3, 4, 5, 6, 7), (3, 4)
 WINDOW, MOST_WINDOWS, EPOCHS, BATCH = 24, 24_000, 3, 256
@@ -62,7 +65,7 @@ class Field:
     bias: float = -4.0
     start: float = 0.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    doc: tuple[float, float, float] = (1.0, 0.5, 0.0)
+    doc: tuple[float, ...] = (1.0, 0.5, 0.0, 0.0)
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return np.clip(self.weights[(features & np.uint64(BUCKETS - 1)).astype(np.int64)].sum(1, dtype=np.float64) + self.bias, -25, 25)
@@ -107,13 +110,15 @@ def marginal_odds(emission: np.ndarray, begins: np.ndarray, start: float, moves:
 
 
 def document_features(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Greatest log-odds and log of the expected number of toxic words, for each document."""
-    out = np.tile(np.array([-12.0, np.log(1e-3)]), (len(first) - 1, 1))
-    full = np.flatnonzero(np.diff(first))
+    """Greatest log-odds, and the logs of the expected number of toxic words and of their share, for each document."""
+    out = np.tile(np.array([-12.0, np.log(1e-3), np.log(1e-4)]), (len(first) - 1, 1))
+    sizes = np.diff(first)
+    full = np.flatnonzero(sizes)
     if len(full):
         cut = first[:-1][full]
         out[full, 0] = np.clip(np.maximum.reduceat(odds, cut), -12, 12)
         out[full, 1] = np.log(np.add.reduceat(1 / (1 + np.exp(-odds)), cut) + 1e-3)
+        out[full, 2] = out[full, 1] - np.log(sizes[full] + 10)
     return out
 
 
@@ -128,25 +133,27 @@ def _parts(texts: list[str], size: int = 64):
 
 
 def _word_labels(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Which counters stand for toxic words: seen in so many documents, nearly all of them toxic, that chance can't explain it."""
-    in_all, in_toxic = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, np.int32)
+    """Which counters stand for toxic words: seen in so many toxic documents that chance can't explain it, and used there nearly always."""
+    uses, toxic_uses, in_toxic = (np.zeros(COUNTERS, np.int32) for _ in range(3))
     for at, (features, _, _, first) in _parts(texts):
         ids = (features[:, :OWN] & np.uint64(COUNTERS - 1)).astype(np.int64)
         for k in range(len(first) - 1):
-            own = np.unique(ids[first[k] : first[k + 1]])
-            in_all[own] += 1
+            own, n = np.unique(ids[first[k] : first[k + 1]], return_counts=True)
+            n = np.minimum(n, USES)
+            uses[own] += n
             if toxic[at + k]:
+                toxic_uses[own] += n
                 in_toxic[own] += 1
     share = max(toxic.mean(), 1e-4)
-    seen = max(int((in_all > 0).sum()), 2)
-    return (in_toxic >= max(3, np.log(seen) / -np.log(min(share, 0.9)))) & (in_toxic >= 0.85 * in_all)
+    seen = max(int((uses > 0).sum()), 2)
+    return (in_toxic >= max(3, np.log(seen) / -np.log(min(share, 0.9)))) & (toxic_uses >= TOXIC_SHARE * uses)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Field:
     """Label words, fit the field on windows of words, then the documents' score on the fifth of the documents kept apart."""
     made, toxic = Field(), np.array(labels, bool)
     if not toxic.any() or toxic.all():
-        made.doc = (0.0, 0.0, 8.0 if len(toxic) and toxic.all() else -8.0)
+        made.doc = (0.0, 0.0, 0.0, 8.0 if len(toxic) and toxic.all() else -8.0)
         return made
     rng = np.random.default_rng(seed)
     apart = rng.random(len(texts)) < 0.2 if toxic.sum() >= 10 else np.zeros(len(texts), bool)
@@ -239,25 +246,37 @@ def _pairs(emission: np.ndarray, length: np.ndarray, start: float, moves: np.nda
     return joint[np.arange(1, T)[None, :] < length[:, None]].sum(0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Newton steps with a small ridge."""
-    X, w = np.column_stack((x, np.ones(len(x)))), np.zeros(3)
+    X, w = np.column_stack((x, np.ones(len(x)))), np.zeros(x.shape[1] + 1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        H = (X * (p * (1 - p))[:, None]).T @ X + 0.05 * np.eye(3)
+        H = (X * (p * (1 - p))[:, None]).T @ X + 0.05 * np.eye(len(w))
         w = w + np.linalg.solve(H, X.T @ (y - p) - 0.05 * w)
     return tuple(w.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fold: int | None = 0, of: int = 5, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Train on at most ``sample_rows`` labelled documents outside the fold; an id labelled twice is toxic if one label says so."""
+    """Train on at most ``sample_rows`` labelled documents outside the fold; an id labelled twice is toxic if one label says so.
+
+    Toxic ones may be up to half of them; the score is then corrected for their true share."""
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull())
     if fold is not None:
         known = known.where(F.pmod(crc_of_id(F.col(id)), F.lit(of)) != fold)
-    chosen = known.groupBy(F.col(id).alias("id")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
+    each = materialise(known.groupBy(F.col(id).alias("id")).agg(F.max(label).alias("y")))
+    there = {bool(r["y"]): r["n"] for r in each.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    clean, bad = there.get(False, 0), there.get(True, 0)
+    quota = min(bad, max(sample_rows // 2, sample_rows - clean))
+    parts = [each.where(F.col("y").cast("boolean") == kind).orderBy(F.xxhash64("id"), "id").limit(n) for kind, n in ((True, quota), (False, sample_rows - quota))]
+    chosen = parts[0].unionByName(parts[1])
+    place = 1 + F.pmod(F.xxhash64(id), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int")
+    rows = docs.select(F.col(id).alias("id"), F.substring(text, place, F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
     got = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("id").toArrow()
-    return train(got.column("text").to_pylist(), got.column("y").to_pylist())
+    model = train([t or "" for t in got.column("text").to_pylist()], got.column("y").to_pylist())
+    used = sample_rows - quota
+    if 0 < used < clean or 0 < quota < bad:
+        model.doc = (*model.doc[:-1], model.doc[-1] + float(np.log(bad / quota * min(used, clean) / clean)))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: Field, text: str = "text", keep: list
             features, starts, ends, first = word_features(data, rows)
             odds = _odds(model, features, first)
             x = document_features(odds, first)
-            score[at:to] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.doc[:2]) + model.doc[2], -30, 30)))
+            score[at:to] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.doc[:-1]) + model.doc[-1], -30, 30)))
             bad = np.flatnonzero(odds >= 0)
             for w, row in zip(bad, np.searchsorted(first, bad, "right") - 1, strict=True):
                 own, base = spans[at + row], rows[row]
