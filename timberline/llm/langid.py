@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from timberline.llm.common import LOWER, annotate, crc_of_id, mix, read, slices
 
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (2, 3, 4)
-#: Labelled texts of each language that may be used in training, and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 800, 1 << 16
+#: Labelled texts of each language that may be used in training, and the characters used of each; of a longer one, those
+#: from a place that its hash tells.
+SAMPLE_ROWS, SAMPLE_CHARS = 800, 1 << 16
 EPOCHS, BATCH, STEP = 6, 64, 4.0
 UNKNOWN = "und"
 
@@ -135,11 +136,18 @@ def train(texts: list[str], langs: list[str], seed: int = 1) -> Model:
 
 
 def fit(docs: DataFrame, id: str, text: str, lang: str, fold: int, of: int, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``sample_rows`` texts of each language outside the fold (those of the least hashes of their ids)."""
-    known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(crc_of_id(F.col(id)), F.lit(of)) != fold))
-    ranked = known.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(id, lang).alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    """Train on at most ``sample_rows`` texts of each language outside the fold (those of the least hashes of their ids).
+
+    A count for each language tells how small a hash may be: so few rows pass that ranking them takes no large group."""
+    known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.pmod(crc_of_id(F.col(id)), F.lit(of)) != fold))
+    hashed = known.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(id, lang).alias("h"))
+    room = F.lit(1.5 * sample_rows + 50) / F.count("*")  # of uniform hashes far more than sample_rows pass
+    bounds = hashed.groupBy("lang").agg(F.when(room >= 1, F.lit(2.0**63)).otherwise((room * 2 - 1) * 2.0**63).alias("most"))
+    near = hashed.join(bounds, "lang").where(F.col("h").cast("double") <= F.col("most")).drop("most")
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
     chosen = ranked.where(F.col("k") <= sample_rows).select("id", "lang").distinct()
-    rows = known.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["id", "lang"])  # at most sample_rows a language
+    place = 1 + F.pmod(F.xxhash64(id), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int")
+    rows = known.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.substring(text, place, F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), ["id", "lang"])  # at most sample_rows a language
     got = rows.groupBy("id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "id").toArrow()
     return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
