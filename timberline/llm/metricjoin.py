@@ -10,6 +10,7 @@ only a spanning set of each block is written.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from timberline.llm.common import components, map_batches, materialise, read
 from timberline.llm.neardup import _grouped
 
-#: Vectors at home in a cell, on average, and in a block of one cell; at most so many pivots (they go to every task).
-CELL_ROWS, BLOCK_ROWS, MOST_PIVOTS = 4096, 4096, 1024
+#: Vectors at home in a cell, on average, and in a block of one cell. Pivots go to every task, so from 4 million vectors on
+#: there are as many as the square root of the vectors (32,000, or 16 MB, for a billion of 64 dimensions), and cells grow too.
+CELL_ROWS, BLOCK_ROWS, FEW_PIVOTS = 4096, 4096, 1024
+#: Distances to pivots that are held at once.
+HELD = 1 << 22
 #: Single precision decides a pair unless its cosine is so near the bound.
 UNSURE = 1e-4
 
@@ -84,23 +88,33 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     table = materialise(source.select("row", "id", "valid", F.when(F.col("valid"), F.col("v")).alias("v"), F.xxhash64("v").alias("f1"), F.xxhash64(F.lit(7), "v").alias("f2")))
     classes = materialise(table.where("valid").groupBy("f1", "f2").agg(F.min("row").alias("c"), F.min("id").alias("least"), F.count("*").alias("m"), F.min_by("v", "row").alias("v")))
     n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    pivots = classes.orderBy(F.xxhash64("f1", "f2"), "c").limit(min(MOST_PIVOTS, max(1, round(n / cell_rows)))).select("v").toArrow()
+    pivots = classes.orderBy(F.xxhash64("f1", "f2"), "c").limit(min(max(FEW_PIVOTS, math.isqrt(n)), max(1, round(n / cell_rows)))).select("v").toArrow()
     centre = units(pivots.column(0).combine_chunks(), dim) if n else np.zeros((1, dim))
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-9
 
     def distances(column: pa.Array) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * (units(column, dim) @ centre.T), 0))
 
-    def homes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        d = distances(batch.column(0))
-        return pa.RecordBatch.from_arrays([pa.array(d.argmin(1)), pa.array(d.min(1))], ["cell", "d"])
+    def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = max(1, HELD // len(centre))
+        for at in range(0, len(batch), size):
+            yield batch.slice(at, size)
+
+    def homes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in parts_of(batch):
+            d = distances(part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1)), pa.array(d.min(1))], ["cell", "d"])
 
     cells = map_batches(classes.select("v"), homes, "cell long, d double").groupBy("cell").agg(F.max("d"), F.count("*")).collect()  # a row for each pivot
     reach, blocks = np.full(len(centre), -1.0), np.ones(len(centre), int)
     for cell, far, size in cells:
         reach[cell], blocks[cell] = far + radius, -(-size // block_rows)
 
-    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def deal(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(whole):
+            yield from deal_part(batch)
+
+    def deal_part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d = distances(batch.column(2))
         home = d.argmin(1)
         before = np.arange(d.shape[1])[None, :] <= home[:, None]  # a pair of two cells meets in the first of them
