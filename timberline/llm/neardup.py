@@ -25,7 +25,7 @@ from timberline.llm.common import bit_map, byte_class, components, gram_hashes,
 WORD = byte_class([0x20, *range(0x09, 0x0E)])
 SYMBOLS, CHUNKS = 32, 8
 PER = SYMBOLS // CHUNKS
-#: Signatures that differ in more symbols aren't compared as sets: at similarity 0.75 that is over five standard deviations.
+#: Signatures that differ in more symbols (over five standard deviations at similarity 0.75) aren't tried in the first round; the last one tries them.
 FAR = 20
 #: Members of one key's group that are compared in one block.
 BLOCK = 1024
@@ -162,10 +162,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
 
 
 def _open_rows(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of groups (key, place, c) that lie in more than one component, with comp, and the number of blocks of their group."""
+    """The rows of groups (key, place, c) that lie in more than one component, with comp, and the blocks that each goes to.
+
+    Members of a group's largest component needn't meet each other: they have blocks of their own (0 to mains - 1), and
+    only the others go to all blocks. So a group of one large component and a few strays is copied a few times at most."""
     labelled = keyed.join(found, keyed.c == found.id, "left").select("key", "place", "c", F.coalesce("component_id", "c").alias("comp"))
-    spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    return materialise(labelled.join(spread, "key"))
+    each = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    spread = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = spread.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("others"))
+    return materialise(labelled.join(blocks, "key").select("key", "place", "c", "comp", (F.col("comp") == F.col("main")).alias("main"), "mains", "others"))
 
 
 def _outlines(open_: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
@@ -190,8 +195,10 @@ def _across(open_: DataFrame, outlines: DataFrame, similarity: float, nearest: b
 
     Each element that one outline has and the other lacks is missing from the other set, so the outlines bound the common
     part from above: no similar pair is left out by them."""
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = open_.join(outlines, "c").withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    number = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    last = F.col("mains") + F.col("others") - 1
+    meets = F.when(F.col("main"), F.sequence("mains", last)).otherwise(F.sequence(F.lit(0), last))
+    dealt = open_.join(outlines, "c").withColumn("mine", F.when(F.col("main"), number("mains")).otherwise(F.col("mains") + number("others"))).withColumn("other", F.explode(meets))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "place", "c", "comp", "n", "sig", "outline")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     share = similarity / (1 + similarity) - 1e-9
@@ -211,8 +218,6 @@ def _across(open_: DataFrame, outlines: DataFrame, similarity: float, nearest: b
                 if not len(to):
                     continue
                 same = sig[to] == sig[k]
-                near = SYMBOLS - same.sum(1) <= FAR
-                to, same = to[near], same[near]
                 lacks, extra = np.bitwise_count(outline[k] & ~outline[to]).sum(1, dtype=np.int64), np.bitwise_count(outline[to] & ~outline[k]).sum(1, dtype=np.int64)
                 can = np.minimum(n[k] - lacks, n[to] - extra) >= share * (n[k] + n[to])
                 to, same = to[can], same[can]
