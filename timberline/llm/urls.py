@@ -56,9 +56,15 @@ def lexical(df: DataFrame) -> DataFrame:
     return df.select("*", *[f.cast("double").alias(f"x{k}") for k, f in enumerate(features)], F.element_at(F.split("host", r"\."), -1).alias("suffix"), F.regexp_extract("path", r"^/([^/]*)", 1).alias("opening"))
 
 
-def _statistics(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked rows, and how common the value is, for each value of ``key``."""
-    return labelled.groupBy(key).agg(((F.sum("y") + 1) / (F.count("*") + 2)).alias(f"{key}_share"), F.log2(F.count("*").cast("double")).alias(f"{key}_rows"))
+def _with_statistics(rows: DataFrame, key: str, at: int) -> DataFrame:
+    """Add the smoothed share of blocked rows, and how common the value is, among the labelled rows of the same ``key``.
+
+    A labelled row takes them from the other half of the labelled rows (``part``), so its own label is never in them."""
+    halves = [F.col("part") == 0, F.col("part") == 1]
+    known = rows.where("y is not null").groupBy(key).agg(*[f for k, h in enumerate(halves) for f in (F.sum(F.when(h, F.col("y")).otherwise(0)).alias(f"_s{k}"), F.sum(h.cast("int")).alias(f"_n{k}"))])
+    pick = lambda c: F.coalesce(F.when(F.col("y").isNull(), F.col(f"{c}0") + F.col(f"{c}1")).when(halves[0], F.col(f"{c}1")).otherwise(F.col(f"{c}0")), F.lit(0))
+    wide = rows.join(known, key, "left")
+    return wide.withColumns({f"x{at}": (pick("_s") + 1) / (pick("_n") + 2), f"x{at + 1}": F.log2(pick("_n") + F.lit(0.5))}).drop("_s0", "_n0", "_s1", "_n1")
 
 
 def _bins(cuts: list[list[float]]) -> list[Column]:
@@ -121,15 +127,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id:
     host, path = host_and_path(F.col("url"))
     judged = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = materialise(lexical(judged.select("*", rule.alias("rule"), verdict.alias("by_rule"))))
-    labelled = rows.where("rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("int"))
+    y = (F.col("by_rule") == "block").cast("int")
+    rows = materialise(lexical(judged.select("*", rule.alias("rule"), verdict.alias("by_rule"))).withColumns({"y": y, "part": F.pmod(F.xxhash64("id", "url", F.lit(3)), F.lit(2))}))
     first = sum(c.startswith("x") for c in rows.columns)
     for key in ("suffix", "opening"):
-        known = _statistics(labelled, key)
-        rows = rows.join(known, key, "left").withColumnsRenamed({f"{key}_share": f"x{first}", f"{key}_rows": f"x{first + 1}"}).fillna({f"x{first}": 0.5, f"x{first + 1}": -1.0})
+        rows = _with_statistics(rows, key, first)
         first += 2
     rows = materialise(rows)
-    sample = rows.where("rule is not null").orderBy(F.xxhash64("id", "url"), "id", "url").limit(sample_rows).withColumn("y", (F.col("by_rule") == "block").cast("int"))
+    sample = rows.where("y is not null").orderBy(F.xxhash64("id", "url"), "id", "url").limit(sample_rows)
     cuts, score = fit(sample, first)
     scored = rows.select("id", "host", "path", "rule", "by_rule", *_bins(cuts)).withColumn("score", 1 / (1 + F.exp(-score)))
     return scored.select(F.col("id").alias(id), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
@@ -137,3 +142,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, the part of ``op5`` that SQL can check."""
+    host, path = host_and_path(F.col("url"))
+    parts = read(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), RULES)
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
