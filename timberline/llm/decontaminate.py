@@ -138,44 +138,69 @@ def _marked(index: Index, n: int, k: int):
     return step
 
 
+#: Bits (as a power of two) of the map of fingerprints that goes to every task, whatever the size of the benchmark.
+SIEVE_BITS = 24
+
+
+def _sieve(windows: DataFrame) -> np.ndarray:
+    """A map of 2**SIEVE_BITS bits, those of the fingerprints set: 2 MB, gathered as at most 2**18 rows."""
+    at = F.col("fp").bitwiseAND((1 << SIEVE_BITS) - 1)
+    words = windows.select(at.alias("x")).groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    out[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
+    return out.view(np.uint64)
+
+
 def _joined(docs: DataFrame, windows: DataFrame, text: str, keep: list[str] | None, n: int, k: int) -> DataFrame:
-    """The same result by shuffles, for a benchmark of any size: fingerprints first, then whole windows."""
+    """The same result by shuffles, for a benchmark of any size: only document windows whose fingerprint the map of bits lets through are joined."""
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most n of them
+    sieve = _sieve(windows)
+    added = {c.split()[0] for c in FIELDS.split(", ")}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    held = materialise(docs.select(whole.alias("_doc"), F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_row")))
 
     def counted(column: pa.Array) -> list[pa.Array]:
         return [pa.array(np.concatenate([np.diff(word_hashes(d, r, WORD)[3]) for _, _, d, r in slices(column)] or [np.zeros(0, np.int64)]).astype(np.int64))]
 
-    held = materialise(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(docs.columns if keep is None else keep), text])], F.monotonically_increasing_id().alias("__row")))
-
     def step(batch: pa.RecordBatch):
         for at, _, data, rows in slices(batch.column(1)):
             words, _, _, first = word_hashes(data, rows, WORD)
             ids = np.asarray(batch.column(0))
             for size in lengths:
                 marks = fingerprints(words, n, k) if size == n else gram_hashes(words, size, 21)
-                starts = np.arange(len(marks))
+                low = marks & np.uint64((1 << SIEVE_BITS) - 1)
+                starts = np.flatnonzero(sieve[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
                 row = np.searchsorted(first, starts, "right") - 1
-                ok = starts + size <= first[np.minimum(row + 1, len(first) - 1)]
-                own = [x[ok].view(np.int64) for x in (marks, gram_hashes(words, size, 21), gram_hashes(words, size, 22))]
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[ok]]), pa.array((starts - first[row])[ok]), *map(pa.array, own), pa.array(np.full(ok.sum(), size, np.int32))], ["__row", "start", "fp", "h1", "h2", "length"])
-
-    mine = map_batches(held.select("__row", F.col(f"`{text}`").alias("text")), step, "__row long, start long, " + WINDOW_FIELDS)
-    near = mine.join(windows.select("fp", "length").distinct(), ["fp", "length"], "left_semi")
-    hits = materialise(near.join(windows.drop("fp"), ["h1", "h2", "length"]).select("__row", "start", "length", "item"))
-    merged = hits.groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.array("start", F.col("start") + F.col("length")))).alias("w"))
-    spans = F.aggregate(
-        "w",
-        F.expr("cast(array() as array<array<bigint>>)"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(F.element_at(a, -1), 2) >= x[0]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.array(F.element_at(F.element_at(a, -1), 1), F.greatest(F.element_at(F.element_at(a, -1), 2), x[1]))))).otherwise(
-            F.concat(a, F.array(x))
-        ),
-    )
-    merged = merged.select("__row", "items", spans.alias("spans"))
-    base = annotate(held, text, counted, "n_words long", [c for c in held.columns if c.lower() not in ("n_hit", "items", "spans", "contaminated") and (keep is None or c in [*keep, "__row"])])
+                inside = starts + size <= first[np.minimum(row + 1, len(first) - 1)]
+                starts, row = starts[inside], row[inside]
+                if len(starts):
+                    take = starts[:, None] + np.arange(size)
+                    own = [x.view(np.int64) for x in (marks[starts], hashes_of(words[take], size, 21), hashes_of(words[take], size, 22))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(starts - first[row]), *map(pa.array, own), pa.array(np.full(len(starts), size, np.int32))], ["_row", "start", "fp", "h1", "h2", "length"])
+
+    mine = map_batches(held.select("_row", "_text"), step, "_row long, start long, " + WINDOW_FIELDS)
+    hits = materialise(mine.drop("fp").join(windows.drop("fp"), ["h1", "h2", "length"]).select("_row", "start", "length", "item"))
+    places = hits.select("_row", F.struct("start", "length").alias("w")).distinct().groupBy("_row").agg(F.collect_list("w").alias("w"))  # of one row of docs
+    items = hits.select("_row", "item").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = []
+        for found in batch.column(1).to_pylist():
+            own: list[list[int]] = []
+            for start, length in sorted((w["start"], w["length"]) for w in found):
+                if own and start <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], start + length)
+                else:
+                    own.append([start, start + length])
+            spans.append(own)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["_row", "spans"])
+
+    covered = map_batches(places, merged, "_row long, spans array<array<long>>").join(items, "_row")
+    base = annotate(held, "_text", counted, "n_words long", ["_doc", "_row"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    return base.join(merged, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in base.columns if c not in ("__row", "n_words")], "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+    return base.join(covered, "_row", "left").select(
+        *[F.col("_doc").getField(c).alias(c) for c in kept], "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
         F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)")).alias("spans"), F.col("spans").isNotNull().alias("contaminated"),
     )
 
