@@ -7,7 +7,7 @@ of these, fitted on other labelled documents, give the posterior. Rates r >= 0 t
 
     (A - T)' W (A - T) / total**2  +  ridge * sum_i t_i (r_i - 1)**2 / total,   A_d = sum_i r_i t_i p_id,
 
-exactly. W is the inverse of the Gram matrix of the posteriors. The best rates are r_i = max(least, 1 + u'p_i) with one
+exactly. W is the inverse of the Gram matrix of the posteriors. The best rates are r_i = 1 + u'p_i between bounds, with one
 number u_d a domain, so Newton's method on u (the convex dual, with step halving) finds them: a pass is one aggregate over
 a narrow table, with ten sums as its result, and the passes end at the optimum only.
 """
@@ -29,6 +29,10 @@ WEIGHTS = {"good": 0.70, "poor": 0.20, "toxic": 0.10}
 SAMPLE_ROWS = 20_000
 BUCKETS, SMOOTHING = 1 << 16, 4.0
 CLOSE, RIDGE = 1e-3, 1e-4
+#: How often a document may be repeated at most when all are kept.
+MOST_REPEATS = 4.0
+#: Share of distinct words, of characters that are neither letters, digits nor spaces, and of capital letters.
+SHAPE = ("distinct", "signs", "capitals")
 #: Optimality that ends the fit (share of the total), and the passes after which it raises.
 EXACT, MOST_PASSES = 1e-5, 200
 WORDS = r"[\s.,;:!?|#$%&*()\[\]\"]+"
@@ -43,12 +47,15 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 
 def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_rows: int) -> DataFrame:
     """row, id, name (hash of the text), tokens (words, at least 1), p (posterior over DOMAINS) of every row of ``docs``."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), WORDS), lambda w: w != "")
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("name"), words.alias("words"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    words = F.filter(F.split(F.lower(body), WORDS), lambda w: w != "")
+    share = lambda pattern: F.regexp_count(body, F.lit(pattern)) / F.greatest(F.length(body), F.lit(1))
+    shape = [share(r"[^\p{L}\p{N}\s]").alias("signs"), share(r"\p{Lu}").alias("capitals")]
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("name"), words.alias("words"), *shape)
     sample = materialise(_sample(labels, sample_rows))
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     D = range(len(DOMAINS))
-    labelled = docs.join(F.broadcast(sample.where("part = 0")), docs[id] == F.col("id"))  # at most sample_rows rows
+    labelled = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias(text)).join(F.broadcast(sample.where("part = 0")), "id")  # at most sample_rows rows
     seen = labelled.select("domain", F.explode(F.array_distinct(words)).alias("word"))
     counts = seen.groupBy(bucket.alias("bucket")).agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"n{d}") for d in D])
     counts = materialise(counts)
@@ -56,11 +63,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_ro
     prior = [(x + 1) / (sum(total) + len(DOMAINS)) for x in total]
     shares = counts.select("bucket", *[((F.col(f"n{d}") + SMOOTHING * prior[d]) / (sum(F.col(f"n{e}") for e in D) + SMOOTHING)).alias(f"s{d}") for d in D])
     # one row of words a document: partial sums in each task leave one row a document to shuffle
-    each = split.select("row", "id", "name", F.size("words").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word")).withColumn("bucket", bucket)
+    each = split.select("row", "id", "name", "signs", "capitals", F.size("words").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word")).withColumn("bucket", bucket)
     held = each.join(F.broadcast(shares), "bucket", "left")  # at most 65,536 rows
     aggregates = [f(F.coalesce(f"s{d}", F.lit(prior[d]))).alias(f"{n}{d}") for d in D for n, f in (("mean", F.avg), ("top", F.max))]
-    described = materialise(held.groupBy("row").agg(F.first("id").alias("id"), F.first("name").alias("name"), F.first("tokens").alias("tokens"), *aggregates))
-    features = [f"{n}{d}" for d in D for n in ("mean", "top")]
+    kept = [F.first(c).alias(c) for c in ("id", "name", "tokens", "signs", "capitals")]
+    distinct = (F.count("word") / F.greatest(F.first("tokens"), F.lit(1))).alias("distinct")
+    described = materialise(held.groupBy("row").agg(*kept, distinct, *aggregates))
+    features = [*[f"{n}{d}" for d in D for n in ("mean", "top")], *SHAPE]
     fitted = described.join(F.broadcast(sample.where("part = 1")), "id").groupBy("domain").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("v", F.var_pop))]).collect()
     by = {r["domain"]: r for r in fitted}
     n = sum(r["n"] for r in fitted)
@@ -79,24 +88,27 @@ def posteriors(docs: DataFrame, labels: DataFrame, id: str, text: str, sample_ro
     return described.select("row", "id", "name", F.greatest("tokens", F.lit(1)).cast("long").alias("tokens"), F.array(*[w / reduce(lambda a, b: a + b, weights) for w in weights]).alias("p"))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], keep_all: bool = False) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, weights: dict[str, float], keep_all: bool = False, most: float | None = None) -> tuple[Column, dict]:
     """The rate of a row as an expression of its ``p``, and what it reached.
 
     Targets share out the corpus's own total, or with ``keep_all`` the least total at which no domain has to shrink.
-    With ``keep_all`` no rate is below 1. The passes end at the optimum; ``met`` tells whether all totals are then within
+    With ``keep_all`` no rate is below 1; none is above ``most``. The passes end at the optimum; ``met`` tells whether all totals are then within
     CLOSE of the targets (some targets no rates can meet)."""
     D = range(len(DOMAINS))
     pairs = [(d, e) for d in D for e in D if e >= d]
     p = [F.col("p")[d] for d in D]
     tokens = F.col("tokens").cast("double")
-    least = 1.0 if keep_all else 0.0
+    least, top = 1.0 if keep_all else 0.0, 1e9 if most is None else float(most)
+
+    def bounded(rate: Column) -> Column:
+        return F.least(F.lit(top), F.greatest(F.lit(least), rate))
 
     def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """One pass: totals by domain, the Gram matrix of the rows above the least rate, and the sum of the rates' integrals."""
         s = reduce(lambda a, b: a + b, [p[d] * F.lit(float(at[d])) for d in D])
-        free = s >= least - 1
-        part = F.when(free, s + s * s / 2).otherwise(F.lit(least) * s - (least - 1) ** 2 / 2)
-        weighed = F.greatest(F.lit(least), 1 + s) * tokens
+        free = (s >= least - 1) & (s <= top - 1)
+        part = F.when(free, s + s * s / 2).when(s < least - 1, F.lit(least) * s - (least - 1) ** 2 / 2).otherwise(F.lit(top) * s - (top - 1) ** 2 / 2)
+        weighed = bounded(1 + s) * tokens
         sums = [*[weighed * p[d] for d in D], *[F.when(free, tokens * p[d] * p[e]).otherwise(0.0) for d, e in pairs], tokens * part]
         got = list(members.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{k}") for k, x in enumerate(sums)]).first())
         square = np.zeros((len(D), len(D)))
@@ -126,14 +138,14 @@ def fit_rates(members: DataFrame, weights: dict[str, float], keep_all: bool = Fa
                 break
             share /= 2
         at, gram, slope, height = to, square, found, lower
-    rate = F.greatest(F.lit(least), 1 + reduce(lambda a, b: a + b, [p[d] * F.lit(float(at[d])) for d in D]))
+    rate = bounded(1 + reduce(lambda a, b: a + b, [p[d] * F.lit(float(at[d])) for d in D]))
     met = bool(np.abs(now / total - goal).max() < CLOSE * scale)
     return rate, {"rounds": passes, "met": met, "totals": dict(zip(DOMAINS, now.tolist(), strict=True)), "targets": dict(zip(DOMAINS, (goal * total).tolist(), strict=True))}
 
 
-def _fit(members: DataFrame, weights: dict[str, float], keep_all: bool) -> Column:
+def _fit(members: DataFrame, weights: dict[str, float], keep_all: bool, most: float | None = None) -> Column:
     """The rate; targets that no rates can meet are warned of."""
-    rate, report = fit_rates(members, weights, keep_all)
+    rate, report = fit_rates(members, weights, keep_all, most)
     if not report["met"] and any(report["totals"].values()):
         warnings.warn(f"mixing: the targets are out of reach: {report['targets']}; the nearest totals are {report['totals']}", stacklevel=3)
     return rate
@@ -149,13 +161,14 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     return members.select(F.col("id").alias(id), "tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], rate.alias("rate"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id: str = "doc_id", text: str = "text", keep_all: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id: str = "doc_id", text: str = "text", keep_all: bool = True, most: float | None = MOST_REPEATS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its rate says: its whole part, and one more if a hash of id and text falls below the rest.
 
-    With ``keep_all`` every row stays at least once, and only rows of scarce domains repeat. Rows that stay as they are
+    With ``keep_all`` every row stays at least once, and only rows of scarce domains repeat, none over ``most`` times;
+    targets that this rules out are met as nearly as can be, and a warning says so. Rows that stay as they are
     aren't shuffled."""
     members = materialise(posteriors(docs, labels, id, text, sample_rows))
-    rate = _fit(members, weights, keep_all)
+    rate = _fit(members, weights, keep_all, most)
     chance = F.shiftrightunsigned(F.xxhash64("id", "name", F.lit(9)), 11) / float(1 << 53)
     times = members.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.floor(rate + chance).cast("int").alias("_times")).where("_times <> 1").distinct()
     other = materialise(times)
