@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from timberline.llm.common import annotate, read
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters handed to the tokenizer at once, and the length from which a text is cut.
-RUN_CHARS, LONG_CHARS = 1 << 19, 1 << 16
+#: UTF-8 bytes handed to the tokenizer at once, and the characters from which a text is cut.
+RUN_BYTES, LONG_CHARS = 1 << 19, 1 << 16
 #: A byte-level BPE that splits words as in GPT-2 always starts a word at a space between two non-spaces.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -38,7 +38,7 @@ def _tokenizer(name: str):
 
 
 def pieces(text: str, limit: int = LONG_CHARS) -> Iterator[str]:
-    """Cut a text into pieces of at least ``limit`` characters, at safe boundaries only."""
+    """Cut a text into pieces of at least ``limit`` characters, at safe boundaries only; a stretch without one stays whole."""
     at = 0
     while len(text) - at > limit:
         cut = SAFE.search(text, at + limit)
@@ -54,22 +54,22 @@ def lengths(texts: list[str | None], name: str = TOKENIZER) -> np.ndarray:
     out = np.zeros(len(texts), np.int64)
     run: list[str] = []
     owners: list[int] = []
-    chars = 0
+    size = 0
 
     def flush() -> None:
-        nonlocal chars
+        nonlocal size
         if run:
             np.add.at(out, owners, [len(e) for e in _tokenizer(name).encode_batch_fast(run, add_special_tokens=False)])
         run.clear()
         owners.clear()
-        chars = 0
+        size = 0
 
     for k, text in enumerate(texts):
         for piece in pieces(text or ""):
             run.append(piece)
             owners.append(k)
-            chars += len(piece)
-            if chars >= RUN_CHARS:
+            size += len(piece) if piece.isascii() else len(piece.encode())
+            if size >= RUN_BYTES:
                 flush()
     flush()
     return out
