@@ -98,12 +98,14 @@ def shard(
     ``keep``) stay; of the same names as an added one, the added one wins. A group of equal texts stays in one shard
     where that moves a boundary by at most ``group_tolerance`` of a shard, and is split by id otherwise; repeated rows
     are rows of their own. An empty table gives an empty one."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "shard", "slot")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))  # no name of theirs can clash
+    text, id = f"`{text}`", f"`{id}`"
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     half = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
     keyed = materialise(
         docs.select(
-            *[F.col(f"`{c}`") for c in kept], (F.octet_length(data) + 1).cast("long").alias("_w"), F.crc32(data).alias("_crc"), half(F.col(text), F.col(text).isNull()).alias("_k0"), half(F.col(id)).alias("_k1"), F.monotonically_increasing_id().alias("_k2")
+            whole.alias("_row"), (F.octet_length(data) + 1).cast("long").alias("_w"), F.crc32(data).alias("_crc"), half(F.col(text), F.col(text).isNull()).alias("_k0"), half(F.col(id)).alias("_k1"), F.monotonically_increasing_id().alias("_k2")
         )
     )
     bounds, rows_before, _ = splitters(keyed.select("_w", "_k0", "_k1", "_k2"), shards, per_shard, tolerance, group_tolerance)
@@ -113,7 +115,7 @@ def shard(
     base = F.array(*[F.lit(rows_before[k] - rows_before[k - k % per_shard]).cast("long") for k in range(shards * per_shard)])
     place = F.row_number().over(Window.partitionBy("_r").orderBy("_k0", "_k1", "_k2"))
     return ranged.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col("_row").getField(c).alias(c) for c in kept],
         F.col("_w").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.floor(F.col("_r") / per_shard).cast("int").alias("shard"),
@@ -125,3 +127,10 @@ def op1(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 under the law ``bytes``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return shard(docs, keep=["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_law(spark, sf_dir: str) -> DataFrame:
+    """One row on what ``op1`` promises: rows and bytes of all shards, whether slots are gapless, whether sizes are within 2 % of each other or one text."""
+    each = op1(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("most"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    slack = F.greatest(0.02 * F.max("b"), F.max("most"))
+    return each.agg(F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"), F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"), (F.max("b") - F.min("b") <= slack).alias("even"))
