@@ -41,3 +41,28 @@ links as (select a, b from shared join size p on a = p.doc_id join size q on b =
 nodes as (select doc_id as id from d), {COMPONENTS}
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d join labels on d.doc_id = labels.id left join size on d.doc_id = size.doc_id
 """
+
+#: Windows are cut from blocks of each text, since a long string is searched from its front for every piece.
+REPEATS = """
+with d as (select doc_id, row_number() over () as k, hex(encode(coalesce(text, ''))) as h from documents),
+texts as (select h, min(k) as k, count(*) as copies from d group by h),
+blocks as (select k, copies, b, substr(h, 2*b + 1, 1310) as part from (select k, copies, h, unnest(range(0, len(h)//2 - 399, 256)) as b from texts where len(h) >= 800) x),
+w as (select k, copies, b + s as s, md5_number(substr(part, 2*s + 1, 800)) as name from (select k, copies, b, part, unnest(range(0, len(part)//2 - 399)) as s from blocks) x),
+again as (select name from w group by name having sum(copies) > 1),
+hits as (select k, s from w semi join again on w.name = again.name),
+runs as (select k, min(s) as a, max(s) + 400 as b from (select k, s, sum(fresh) over (partition by k order by s) as run from (select k, s, case when s <= lag(s) over (partition by k order by s) + 400 then 0 else 1 end as fresh from hits) x) y group by k, run),
+gone as (select k, count(*) as n, sum(b - a) as size, list(a order by a) as starts, list(b order by a) as ends from runs group by k),
+kept as (select t.h, t.k, coalesce(g.n, 0) as n_spans, coalesce(g.size, 0) as n_removed, case when n is null then t.h else array_to_string(list_transform(range(0, n + 1), lambda j: substr(t.h, 2*(case when j = 0 then 0 else ends[j] end) + 1, 2*((case when j = n then len(t.h)//2 else starts[j+1] end) - (case when j = 0 then 0 else ends[j] end)))), '') end as left_over from texts t left join gone g on t.k = g.k)
+select doc_id, cast(len(d.h)//2 as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(left_over)) as kept_sha256 from d join kept on d.h = kept.h
+"""
+
+_REST = "case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end"
+URL_RULES = rf"""
+with p as (select page_id, coalesce({_REST}, '') as rest from pages),
+parts as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+rules(h, b, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits as (select page_id, h || b as rule, verdict, row_number() over (partition by page_id order by length(h || b) desc) as k from parts join rules on (host = h or suffix(host, '.' || h)) and prefix(path, b))
+select parts.page_id, host, path, rule, verdict as rule_verdict from parts left join fits on parts.page_id = fits.page_id and k = 1
+"""
+
+SHARD_LAW = "select count(*) as n_rows, cast(sum(coalesce(octet_length(encode(text)), 0) + 1) as bigint) as n_bytes, true as gapless, true as even from documents"
