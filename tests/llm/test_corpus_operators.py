@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, langid, metricjoin, mixing, neardup, sharding, suffixdedup, tokens, toxicity, urls
+from timberline.llm import decontaminate, langid, metricjoin, mixing, neardup, sharding, suffixdedup, suffixsort, tokens, toxicity, urls
 from timberline.llm.common import byte_class, components, slices, word_hashes
 
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -278,6 +278,9 @@ def test_rates_meet_targets(spark):
     assert abs(sum(r.r * r.tokens * r.p[0] for r in got) / total - 0.5) < 0.01
     rate, report = mixing.fit_rates(members, {"good": 0.5, "poor": 0.3, "toxic": 0.2}, keep_all=True)
     assert members.select(F.min(rate)).first()[0] >= 1
+    rate, report = mixing.fit_rates(members, {"good": 0.05, "poor": 0.05, "toxic": 0.9}, keep_all=True, most=3.0)
+    low, high = members.select(F.min(rate), F.max(rate)).first()
+    assert low >= 1 and high == 3 and not report["met"]
 
 
 def test_rates_reach_the_optimum_of_soft_posteriors(spark):
@@ -320,6 +323,56 @@ def test_mixing_keeps_every_document(spark, docs, no_docs):
     assert mixing.mix_rates(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_posteriors_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    unseen = labels.where("doc_id % 4 = 0")
+    p = mixing.posteriors(docs, labels.where("doc_id % 4 <> 0"), "doc_id", "text", 20_000)
+    truth = unseen.where("toxic = 0").join(p, F.col("doc_id") == F.col("id")).select("quality", (F.col("p")[1] >= 0.5).cast("int").alias("poor"))
+    got = truth.groupBy("quality").agg(F.avg("poor").alias("share")).collect()
+    by = {r.quality: r.share for r in got}
+    print(by)
+    assert by[0] > 0.75 and by[1] < 0.1, by
+
+
+# names that operators use themselves, and odd tables
+
+
+def odd_names(spark, rows):
+    names = ["_w", "_k0", "_crc", "_row", "__row", "id", "domain", "row", "words", "part", "y", "name", "_doc"]
+    return spark.createDataFrame([(k, t, *range(len(names))) for k, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    text = "lo ra mi zen ke tu ba dor lo mi ra tu"
+    return odd_names(spark, [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, "alone here"), (5, "one"), (6, "x " * 3000)])
+
+
+def test_columns_may_have_any_name(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 1), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "ra mi zen ke tu ba dor lo mi ra")], "item_id long, text string")
+    want = sorted(map(repr, odd.collect()))
+    for got in (sharding.shard(odd, 3), mixing.mix(odd, labels, keep_all=True), *(decontaminate.decontaminate(odd, bench, broadcast_bytes=limit) for limit in (1 << 20, 0))):
+        assert got.columns[: len(odd.columns)] == odd.columns
+        assert {repr(r) for r in got.select(*[f"`{c}`" for c in odd.columns]).collect()} == set(want)
+    assert mixing.mix_rates(odd, labels).count() == odd.count()
+    assert langid.fit(odd.withColumn("lang", F.lit("xx")), "doc_id", "text", "lang", 9, 10).langs == ["xx"]
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    assert sharding.shard(none).columns == [*odd.columns, "size", "text_crc32", "shard", "slot"] and sharding.shard(none).count() == 0
+    assert tokens.count_tokens(none).count() == 0
+    assert suffixdedup.remove_repeats(none).count() == 0
+
+
+def test_very_long_and_odd_urls(spark):
+    rows = [(1, "http://a.org/" + "x" * 200_000), (2, "://"), (3, "http://"), (4, "http://EXAMPLE.org?://b.com/de/"), (5, None), (5, None), (None, "https://é.com/fr/ü#?")]
+    got = {(r.page_id, r.host, r.path[:4], r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {(1, "a.org", "/xxx", "org/", "allow"), (None, "é.com", "/fr/", "com/fr/", "allow")} <= got and len(got) == 6
+    assert {x[1] for x in got if x[0] in (2, 3, 5)} == {""}
+
+
 # 8 suffix-array dedup
 
 
@@ -347,8 +400,7 @@ def removed(docs, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [600_000, 900, 1])
-@pytest.mark.parametrize("length", [400, 60])
+@pytest.mark.parametrize(("hot", "length"), [(600_000, 400), (600_000, 60), (900, 60), (1, 400)])
 def test_repeats_match_brute_force(docs, monkeypatch, hot, length):
     monkeypatch.setattr(suffixdedup, "HOT_BYTES", hot)
     got = suffixdedup.remove_repeats(docs, length=length).collect()
@@ -356,6 +408,28 @@ def test_repeats_match_brute_force(docs, monkeypatch, hot, length):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize(("letters", "length"), [(1, 7), (2, 5), (3, 30), (4, 1)])
+def test_spread_suffix_sort_matches_brute_force(spark, letters, length):
+    rng = np.random.default_rng(letters)
+    strings = [rng.integers(1, letters + 1, n).tolist() for n in rng.integers(0, 60, 25)]
+    strings += [strings[3], strings[4] + [9], [7] * 40]
+    rows = spark.createDataFrame(list(enumerate(strings)), "t long, s array<long>").repartition(3)
+    seen = Counter(tuple(s[k : k + length]) for s in strings for k in range(len(s) - length + 1))
+    want = {(t, k) for t, s in enumerate(strings) for k in range(len(s) - length + 1) if seen[tuple(s[k : k + length])] > 1}
+    got = [(r.t, r.o) for r in suffixsort.repeated_places(rows, length).collect()]
+    assert len(got) == len(want) and set(got) == want
+    ranked = sorted((r.r[k], strings[r.t][k : k + length]) for r in suffixsort.suffix_ranks(rows, length).collect() for k in range(len(strings[r.t])))
+    assert [x for _, x in ranked] == sorted(x for _, x in ranked)
+
+
+@pytest.mark.parametrize("steps", [(), (36,)])
+def test_crowded_buckets_are_sorted_together(docs, monkeypatch, steps):
+    monkeypatch.setattr(suffixdedup, "HOT_BYTES", 1)
+    monkeypatch.setattr(suffixdedup, "STEPS", steps)
+    got = suffixdedup.remove_repeats(docs, length=60).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == removed(pairs_of(docs), 60)
+
+
 def test_repeats_of_nothing(no_docs):
     assert suffixdedup.remove_repeats(no_docs).count() == 0
 
