@@ -96,6 +96,10 @@ def test_readers_and_dispatch(spark, tmp_path):
     assert files.read_cloud(spark, str(tmp_path / "none.pcd")).count() == 0
     files.write_cloud(frame(spark, [(1, 2, 3), (4, 5, 6)]), str(tmp_path / "two.csv"))
     assert [r.x for r in files.read_cloud(spark, str(tmp_path / "two.csv")).orderBy("point_id").collect()] == [1, 4]
+    (tmp_path / "a.csv").write_text("x,y,z,Intensity\n1,2,3,4\n5,6,7,8\n")
+    (tmp_path / "b.csv").write_text("Intensity,x,other,y,z\n9,1,0,2,3\n")
+    got = sorted((r.cloud_id, r.point_id, r.x, r.y, r.z, r.intensity) for r in files.read_cloud(spark, str(tmp_path / "[ab].csv")).collect())
+    assert got == [("a", 0, 1, 2, 3, 4), ("a", 1, 5, 6, 7, 8), ("b", 0, 1, 2, 3, 9)]
     for kind in ("laz", "h5"):
         try:
             __import__({"laz": "laspy", "h5": "h5py"}[kind])
@@ -104,6 +108,21 @@ def test_readers_and_dispatch(spark, tmp_path):
                 files.write_cloud(frame(spark, [(1, 2, 3)]), str(tmp_path / f"c.{kind}"))
 
 
+@pytest.mark.parametrize("kind", ["csv", "txt"])
+def test_lines_are_numbered_across_blocks(spark, tmp_path, kind):
+    head = {"csv": "x,y,z\n", "txt": "//X Y Z\n"}[kind]
+    sep = {"csv": ",", "txt": " "}[kind]
+    for name, n in (("long", 3000), ("short", 7)):
+        (tmp_path / f"{name}.{kind}").write_text(head + "".join(f"{k}{sep}0{sep}0\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = files.read_cloud(spark, f"{tmp_path}/*.{kind}").select("cloud_id", "point_id", "x").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3007 and all(r.point_id == r.x for r in got)
+
+
 def test_records_by_declared_types(spark, tmp_path):
     records = np.zeros(3, [("x", "<f4"), ("label", "u1"), ("big", "<u8")])
     records["label"], records["big"] = [1, 2, 255], [1, 2, 2**63]
@@ -213,6 +232,23 @@ def test_circles(spark):
             assert circle.circles(frame(spark, bad), ["cloud_id"], method).first().r is None
 
 
+def test_geometric_fits_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(circle, "TOGETHER", 40)
+    rows, want = [], {}
+    for k in range(60):
+        n = int(RNG.integers(1, 30))
+        a, r = RNG.random(n) * 2 * np.pi, 0.1 + 0.01 * k
+        own = np.column_stack((k + r * np.cos(a) + RNG.normal(size=n) * 0.01, r * np.sin(a) + RNG.normal(size=n) * 0.01))
+        rows += [(None if k == 7 else f"c{k % 10}", k, float(x), float(y)) for x, y in own]
+        want[k] = circle.geometric_circle(own[:, 0], own[:, 1])
+    got = circle.least_squares(spark.createDataFrame(rows, "cloud_id string, layer int, x double, y double").repartition(3), ["cloud_id", "layer"]).collect()
+    assert len(got) == 60
+    for r in got:
+        assert (r.r is None) == (want[r.layer] is None)
+        if r.r is not None:
+            assert np.allclose((r.xc, r.yc, r.r), want[r.layer], rtol=1e-6, atol=1e-6)
+
+
 def test_clusters():
     blobs = np.vstack([RNG.normal(size=(80, 3)) * 0.1 + c for c in ([0, 0, 0], [3, 0, 0], [0, 4, 0])] + [RNG.random((10, 3)) * 20 - 10])
     labels = clustering.hdbscan(blobs, 10)
@@ -221,6 +257,10 @@ def test_clusters():
         assert (own == np.bincount(own[own >= 0]).argmax()).mean() > 0.85
     assert len(set(labels[:240]) - {-1}) == 3 and (labels[240:] == -1).mean() > 0.5
     assert (clustering.hdbscan(blobs[:15], 10) == -1).all()
+    moved = blobs + np.array([512345.0, 5412345.0, 300.0])
+    d = np.sort(np.sqrt(((blobs[:, None] - blobs[None]) ** 2).sum(2)), 1)[:, 10]
+    assert np.abs(clustering.core_distances(moved, 10) - d).max() < 1e-6
+    assert (clustering.hdbscan(moved, 10) == labels).all()
     assert (clustering.hdbscan(np.zeros((40, 3)), 10) >= -1).all()
 
 

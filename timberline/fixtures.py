@@ -22,8 +22,12 @@ select concat('t', cast(tree_id as string)) as cloud_id, point_id, 10.0e0*tree_k
  2.0e0*pi()*((l_partkey*37+l_orderkey*11+l_linenumber*101) % 360)/360.0e0 as th, ((l_orderkey*13+l_linenumber*71+l_partkey*3) % 1500)/100.0e0 as z,
  case when ((l_orderkey*13+l_linenumber*71+l_partkey*3) % 1500) < 500 then 1 else 0 end as trunk from lineitem) a) b"""
 
-VECTORS_SQL = "select cast(vec_id % 5 as string) as cloud_id, vec_id as point_id, cast(element_at(embedding, 1) as double) as x, cast(element_at(embedding, 2) as double) as y, cast(element_at(embedding, 3) as double) as z from embeddings"
-VECTORS_DUCK = VECTORS_SQL.replace("element_at", "list_extract")
+
+
+def vectors_sql(first: int = 1, element: str = "element_at") -> str:
+    """Three dimensions of all vectors as one cloud."""
+    places = ", ".join(f"cast({element}(embedding, {first + k}) as double) as {c}" for k, c in enumerate("xyz"))
+    return f"select 'v' as cloud_id, vec_id as point_id, {places} from embeddings"
 
 
 def forest_sql(trees: int | None = 5) -> str:
@@ -43,5 +47,5 @@ def forest(spark: SparkSession, sf_dir: str, trees: int | None = 5) -> DataFrame
     return _view(spark, sf_dir, "lineitem", forest_sql(trees))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "embeddings", VECTORS_SQL)
+def vectors(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
+    return _view(spark, sf_dir, "embeddings", vectors_sql(first))

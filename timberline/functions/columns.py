@@ -22,8 +22,8 @@ def unpack_rgb(packed: Column) -> list[Column]:
 
 def nan_to_zero(c: Column) -> Column:
     """NaN and null become 0, infinities the greatest finite double."""
-    v = F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.when(v == math.inf, GREATEST_DOUBLE).when(v == -math.inf, -GREATEST_DOUBLE).otherwise(v)
+    v = F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.least(v, F.lit(GREATEST_DOUBLE)), F.lit(-GREATEST_DOUBLE))
 
 
 def ratio(a: Column, b: Column) -> Column:

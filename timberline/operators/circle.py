@@ -1,13 +1,16 @@
 """Circle fits of groups of points in the x, y plane.
 
 ``kasa`` and ``hyper`` are closed aggregates: means, then central moments, then a projection (for the hyper fit, Newton steps
-on one scalar). ``ls`` is the geometric least-squares fit, whose steps need the points themselves, so it runs group by group.
-A group of fewer than three points, or of points on a line, has no circle: r is null."""
+on one scalar). ``ls`` is the geometric least-squares fit, whose steps need the points themselves: groups are sorted into
+tasks and fitted many at a time. A group of fewer than three points, or of points on a line, has no circle: r is null."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,53 +62,101 @@ def hyper(df: DataFrame, keys: list[str]) -> DataFrame:
     return _finish(held, keys, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
 
 
-def geometric_circle(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float] | None:
-    """Centre and radius that minimise the squared distances to the circle, by Levenberg and Marquardt from the linear fit."""
-    if len(x) < 3:
-        return None
-    mx, my = x.mean(), y.mean()
-    u, v = x - mx, y - my
-    M = np.array([[u @ u, u @ v], [u @ v, v @ v]])
-    if abs(np.linalg.det(M)) <= FLAT * (M[0, 0] + M[1, 1]) ** 2:
-        return None
+def geometric_circles(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Rows xc, yc, r that minimise the squared distances to a circle, by Levenberg and Marquardt from the linear fit, for all groups at once.
+
+    ``first`` holds the first place of each group. A group without a circle has nan."""
+    size = np.diff(np.append(first, len(x)))
+    sums = lambda v: np.add.reduceat(v, first, axis=0)
+    mx, my = sums(x) / size, sums(y) / size
+    of = np.repeat(np.arange(len(first)), size)
+    u, v = x - mx[of], y - my[of]
     w = u * u + v * v
-    a, b = np.linalg.solve(M, [u @ w, v @ w]) / 2
-    r = np.sqrt(a * a + b * b + w.mean())
-    damp = 1e-4
-
-    def loss(p: np.ndarray) -> float:
-        return float(((np.hypot(u - p[0], v - p[1]) - p[2]) ** 2).sum())
-
-    p = np.array([a, b, r])
-    now = loss(p)
-    for _ in range(steps):
-        d = np.hypot(u - p[0], v - p[1])
-        safe = np.maximum(d, 1e-300)
-        J = np.column_stack(((p[0] - u) / safe, (p[1] - v) / safe, -np.ones(len(u))))
-        H, g = J.T @ J, J.T @ (d - p[2])
-        move = np.linalg.solve(H + damp * np.eye(3), -g)
-        new = loss(p + move)
-        if new <= now:
-            p, now, damp = p + move, new, damp / 10
-            if np.abs(move).max() < 1e-12:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
+    uu, uv, vv, uw, vw, ww = (sums(c) for c in (u * u, u * v, v * v, u * w, v * w, w))
+    det = uu * vv - uv * uv
+    good = (size >= 3) & (np.abs(det) > FLAT * (uu + vv) ** 2)
+    safe_det = np.where(good, det, 1.0)
+    a, b = (uw * vv - vw * uv) / safe_det / 2, (vw * uu - uw * uv) / safe_det / 2
+    p = np.column_stack((a, b, np.sqrt(a * a + b * b + ww / size)))
+    p[~good] = np.nan
+
+    def distances(p: np.ndarray) -> np.ndarray:
+        return np.hypot(u - p[of, 0], v - p[of, 1])
+
+    with np.errstate(invalid="ignore"):
+        d = distances(p)
+        now, damp, open_ = sums((d - p[of, 2]) ** 2), np.full(len(first), 1e-4), good.copy()
+        for _ in range(steps):
+            if not open_.any():
                 break
-    return float(p[0] + mx), float(p[1] + my), float(abs(p[2]))
+            safe, e = np.maximum(d, 1e-300), d - p[of, 2]
+            J = np.column_stack(((p[of, 0] - u) / safe, (p[of, 1] - v) / safe, -np.ones(len(u))))
+            H, g = sums(J[:, :, None] * J[:, None, :]), sums(J * e[:, None])
+            H[~open_] = 0.0
+            move = np.linalg.solve(H + damp[:, None, None] * np.eye(3), -np.where(open_[:, None], g, 0.0)[:, :, None])[:, :, 0]
+            to = p + move
+            reached = distances(to)
+            new = sums((reached - to[of, 2]) ** 2)
+            better = open_ & (new <= now)
+            p[better], now[better] = to[better], new[better]
+            d = np.where(better[of], reached, d)
+            damp = np.where(better, damp / 10, damp * 10)
+            open_ &= ~(better & (np.abs(move).max(1) < 1e-12)) & (damp <= 1e12)
+    return np.column_stack((p[:, 0] + mx, p[:, 1] + my, np.abs(p[:, 2])))
 
 
-def least_squares(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The geometric fit of each group: keys, n, xc, yc, r."""
-    names = [f for f in df.schema if f.name in keys]
+def geometric_circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
+    """The fit of one group."""
+    found = geometric_circles(x, y, np.zeros(1, int))[0] if len(x) else np.full(3, np.nan)
+    return None if np.isnan(found).any() else (float(found[0]), float(found[1]), float(found[2]))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = geometric_circle(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)) or (None, None, None)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(pdf), *found]], columns=[*keys, "n", "xc", "yc", "r"])
 
-    schema = ", ".join(f"{k} {next(f for f in names if f.name == k).dataType.simpleString()}" for k in keys)
-    return df.select(*keys, "x", "y").groupBy(*keys).applyInPandas(fit, f"{schema}, n long, xc double, yc double, r double")
+#: Points that are fitted together, at least; a group is never divided.
+TOGETHER = 1 << 15
+
+
+def least_squares(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The geometric fit of each group: keys, n, xc, yc, r."""
+    names = [next(f for f in df.schema if f.name == k) for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
+    dealt = df.select(*keys, "x", "y").repartition(*keys).sortWithinPartitions(*keys)
+
+    def fit(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        """The circles of all groups but the last one, which may go on, and what is left of the rows."""
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in range(len(keys)):
+            column = table.column(k).combine_chunks()
+            new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]).fill_null(False))
+            new[1:] |= np.asarray(pc.xor(column[1:].is_null(), column[:-1].is_null()))
+        first = np.flatnonzero(new)
+        end = len(table) if last else first[-1]
+        first = first[first < end]
+        rest = table.slice(end).to_batches()
+        if not len(first):
+            return None, rest
+        x, y = (np.asarray(table.column(len(keys) + k).combine_chunks()[:end]).astype(float) for k in (0, 1))
+        found = geometric_circles(x, y, first)
+        own = table.select(range(len(keys))).take(pa.array(first)).combine_chunks()
+        circle = [pa.array(c, mask=np.isnan(c)) for c in found.T]
+        return pa.RecordBatch.from_arrays([*(own.column(k).combine_chunks() for k in range(len(keys))), pa.array(np.diff(np.append(first, end))), *circle], [*keys, "n", "xc", "yc", "r"]), rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = bound = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= max(TOGETHER, 2 * bound):  # a group that goes on is looked at again when there is twice as much of it
+                out, held = fit(held, False)
+                size = bound = sum(b.num_rows for b in held)
+                if out is not None:
+                    yield out
+        if size:
+            yield fit(held, True)[0]
+
+    return dealt.mapInArrow(run, f"{schema}, n long, xc double, yc double, r double")
 
 
 FITS = {"kasa": kasa, "hyper": hyper, "ls": least_squares}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 def core_distances(xyz: np.ndarray, k: int) -> np.ndarray:
     """Distance of each point to its k-th nearest other one."""
     n = len(xyz)
+    xyz = xyz - xyz.mean(0)  # else map coordinates leave the squares below too few digits
     out = np.empty(n)
     k = min(k, n - 1)
     step = max(1, (1 << 22) // max(n, 1))

@@ -55,11 +55,14 @@ def select_points(df: DataFrame, indices: DataFrame) -> DataFrame:
     return df.join(indices.select("cloud_id", "point_id"), ["cloud_id", "point_id"], "left_semi")
 
 
-def unique_points(df: DataFrame) -> DataFrame:
-    """One point for each (cloud, x, y, z): the one of the least id, with its attributes. NaN equals NaN and -0 equals 0."""
+def unique_points(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """One point for each (cloud, x, y, z): the one of the least id, with its attributes. NaN equals NaN and -0 equals 0.
+
+    With ``ordered`` the rows come sorted by cloud, x, y, z."""
     rest = [c for c in df.columns if c not in ("cloud_id", *XYZ)]
     first = F.min(F.struct("point_id", *[c for c in rest if c != "point_id"])).alias("of")
-    return df.groupBy("cloud_id", *XYZ).agg(first).select("cloud_id", *XYZ, "of.*").select(*df.columns)
+    found = df.groupBy("cloud_id", *XYZ).agg(first).select("cloud_id", *XYZ, "of.*").select(*df.columns)
+    return found.orderBy("cloud_id", *XYZ) if ordered else found
 
 
 def append(df: DataFrame, other: DataFrame) -> DataFrame:

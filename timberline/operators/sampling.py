@@ -12,6 +12,8 @@ from timberline.functions.columns import clip, normal, uniform
 
 XYZ = ["x", "y", "z"]
 NORMALS = ["nx", "ny", "nz"]
+#: Ranges that a shuffle of clouds is sorted in.
+SLICES = 4096
 
 
 def farthest_indices(xyz: np.ndarray, n: int, start: int = 0) -> np.ndarray:
@@ -45,8 +47,14 @@ def sample_fps(df: DataFrame, n: int, start: int = 0) -> DataFrame:
 
 
 def shuffle_clouds(clouds: DataFrame, seed: int) -> DataFrame:
-    """Add a random position to each cloud of a one-row-per-cloud frame, whatever the partitioning."""
-    return clouds.withColumn("position", F.row_number().over(Window.orderBy(uniform(seed, "cloud_id"), "cloud_id")) - 1)
+    """Add a random position to each cloud of a one-row-per-cloud frame, whatever the partitioning.
+
+    The draws are dealt into SLICES equal ranges; each is sorted by itself, after the counts of those before it."""
+    drawn = clouds.withColumn("_u", uniform(seed, "cloud_id")).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+    counts = drawn.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = counts.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most SLICES rows
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_u", "cloud_id")) - 1
+    return drawn.join(F.broadcast(before), "_slice").select(*clouds.columns, (F.col("_before") + place).alias("position"))
 
 
 def shuffle_points(df: DataFrame, seed: int) -> DataFrame:

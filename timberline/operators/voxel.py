@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from timberline.functions.columns import min_max
 from timberline.operators.base import attach
+from timberline.operators.spatial import knn_join
+from timberline.storage import materialise
 
 CELL = ["vx", "vy", "vz"]
 KEYS = ["cloud_id", *CELL]
@@ -80,15 +82,21 @@ def distances_to_previous_layer(voxels: DataFrame, trees: DataFrame, size: float
     """Every voxel with its distance, in voxels, to the nearest trunk voxel (label 0) of the next lower layer that has one.
 
     Layer 0 is measured to the coordinate; layers below 0, and those above with no trunk voxel under them, stay null. The
-    layer below is an as-of join on the distinct layers, a small table; the nearest voxel an equi-join on that layer."""
+    layer below is an as-of join on the distinct layers, a small table; the nearest voxel in it comes from a join on cells
+    that grow where nothing is near, so no voxel meets a whole layer."""
     trunk = voxels.where((F.col("label") == 0) & (F.col("vz") >= 0))
     layers = voxels.groupBy("cloud_id", "vz").agg(F.max((F.col("label") == 0).cast("int")).alias("has"))
     below = F.last(F.when((F.col("has") == 1) & (F.col("vz") >= 0), F.col("vz")), ignorenulls=True).over(Window.partitionBy("cloud_id").orderBy("vz").rowsBetween(Window.unboundedPreceding, -1))
     previous = layers.select("cloud_id", "vz", below.alias("previous")).where("vz > 0 and previous is not null")
-    upper = voxels.select(*KEYS).join(previous, ["cloud_id", "vz"])
-    lower = trunk.select("cloud_id", F.col("vx").alias("tx"), F.col("vy").alias("ty"), F.col("vz").alias("previous"))
-    d2 = (F.col("vx") - F.col("tx")) * (F.col("vx") - F.col("tx")) + (F.col("vy") - F.col("ty")) * (F.col("vy") - F.col("ty")) + (F.col("vz") - F.col("previous")) * (F.col("vz") - F.col("previous"))
-    found = upper.join(lower, ["cloud_id", "previous"]).groupBy(*KEYS).agg(F.sqrt(F.min(d2).cast("double")).alias("distance"))
+    layer = lambda z: F.concat_ws("/", F.col("cloud_id").cast("string"), F.col(z).cast("string"))
+    place = lambda x, y: F.shiftleft(F.col(x).cast("long"), 32).bitwiseOR(F.col(y).cast("long").bitwiseAND(0xFFFFFFFF))
+    flat = [F.col("vx").cast("double").alias("x"), F.col("vy").cast("double").alias("y"), F.lit(0.0).alias("z")]
+    upper = materialise(voxels.select(*KEYS).join(previous, ["cloud_id", "vz"]).withColumns({"_layer": layer("previous"), "_id": place("vx", "vy")}), "upper")
+    queries = upper.select(F.col("_layer").alias("cloud_id"), F.col("_id").alias("point_id"), *flat).distinct()
+    lower = trunk.select(layer("vz").alias("cloud_id"), place("vx", "vy").alias("point_id"), *flat)
+    near = knn_join(queries, lower, 1, cell=4.0).select(F.col("cloud_id").alias("_layer"), F.col("query_id").alias("_id"), "d2")
+    rise = (F.col("vz") - F.col("previous")).cast("double")
+    found = upper.join(near, ["_layer", "_id"]).select(*KEYS, F.sqrt(F.col("d2") + rise * rise).alias("distance"))
     ground = distances_to_coordinate(voxels, trees, size).withColumn("distance", F.col("distance") / size)
     measured = found.unionByName(ground)
     return voxels.drop("distance").join(measured, KEYS, "left")

@@ -72,10 +72,17 @@ def half_open_slab(spark, d):
     return points.slab(fixtures.forest(spark, d), 1.3, 1.4).select(*ID, *rounded("z"))
 
 
-@query(with_views(f"select cloud_id, point_id, {r6s(XYZ)} from cloud where point_id % 97 = 0", "cloud"))
+@query(with_views(f"select cloud_id, point_id, {r6s(XYZ)} from cloud where (cloud_id, point_id) in (select cloud_id, point_id from cloud where r < 3)", "cloud"))
 def index_cut(spark, d):
     c = fixtures.cloud(spark, d)
-    return points.select_points(c, c.where("point_id % 97 = 0").select(*ID)).select(*ID, *rounded(*XYZ))
+    return points.select_points(c, c.where("r < 3").select(*ID)).select(*ID, *rounded(*XYZ))
+
+
+@query(with_views(f"select cloud_id, point_id, rank, {r6s(XYZ)} from cloud c join (select cloud_id as ci, point_id as pi, unnest([r, r + 1000]) as rank from cloud) i on c.cloud_id = ci and c.point_id = pi", "cloud"))
+def index_list(spark, d):
+    """An index list that names every point twice."""
+    c = fixtures.cloud(spark, d)
+    return points.select_points(c, c.select(*ID, F.explode(F.array(F.col("r"), F.col("r") + 1000)).alias("rank"))).select(*ID, "rank", *rounded(*XYZ))
 
 
 @query(with_views(f"select cloud_id, point_id, {r6('intensity * 2.0e0', 'intensity')} from cloud", "cloud"))
@@ -95,10 +102,10 @@ def unique_points(spark, d):
     return points.unique_points(c).select(*ID, *rounded(*XYZ), "r")
 
 
-@query(with_views("select cloud_id, point_id, r from cloud where cloud_id = 'c0' union all select 'c0', point_id + (select max(point_id) + 1 from cloud where cloud_id = 'c0'), r from cloud where cloud_id = 'c1'", "cloud"))
+@query(with_views("select cloud_id, point_id, r from cloud union all select c.cloud_id, point_id + top + 1, 255 - r from cloud c join (select cloud_id, max(point_id) as top from cloud group by cloud_id) t on c.cloud_id = t.cloud_id", "cloud"))
 def append_clouds(spark, d):
     c = fixtures.cloud(spark, d).select(*ID, "r")
-    return points.append(c.where("cloud_id = 'c0'"), c.where("cloud_id = 'c1'").withColumn("cloud_id", F.lit("c0")))
+    return points.append(c, c.withColumn("r", 255 - F.col("r")))
 
 
 @query(with_views("select cloud_id, point_id, r from cloud union all select cloud_id, point_id, r from cloud where r > 100", "cloud"))
@@ -202,9 +209,16 @@ def _voxels(spark: SparkSession, d: str) -> DataFrame:
     return voxel.voxel_table(fixtures.cloud(spark, d), SIZE)
 
 
-@query(with_views(f"select {_CELLS}, num_points, {r6s(_VALUES)}, label from vox", "cloud", more=sql.VOXELS))
+@query(with_views(f"select {_CELLS}, num_points, {', '.join(r6(f'{c} * num_points', c.replace('mean', 'total').replace('centroid', 'total')) for c in _VALUES)}, label from vox", "cloud", more=sql.VOXELS))
 def voxel_agg(spark, d):
-    return _voxels(spark, d).select(*CELL, "num_points", *rounded(*_VALUES), "label")
+    """Means times counts: these sums of decimal values have no digit beyond the sixth, so the order of summation can't tip a rounding."""
+    totals = [(F.round(F.col(c) * F.col("num_points"), 6) + 0.0).alias(c.replace("mean", "total").replace("centroid", "total")) for c in _VALUES]
+    return _voxels(spark, d).select(*CELL, "num_points", *totals, "label")
+
+
+@query(with_views(f"select {_CELLS}, {', '.join(r6(f'coalesce((mean_intensity-min(mean_intensity) over w)/nullif(max(mean_intensity) over w - min(mean_intensity) over w, 0.0e0), 0.0e0)', f'color_{c}') for c in 'rgb')} from vox window w as (partition by cloud_id)", "cloud", more=sql.VOXELS))
+def voxel_color_frame(spark, d):
+    return points.color_frame(_voxels(spark, d), "mean_intensity").select(*CELL, *rounded("color_r", "color_g", "color_b"))
 
 
 @query(with_views(f"select {_CELLS}, label from vox", "cloud", more=sql.VOXELS))
@@ -384,14 +398,8 @@ _PAIRS = f"pairs as (select a.cloud_id, a.point_id as query_id, b.point_id, {_D2
 EDGE = ["cloud_id", "query_id", "point_id"]
 
 
-@query(with_views(f"select cloud_id, query_id, point_id, {r6('d2', 'd2')} from pairs where query_id % 10 = 0", "vectors", more=_PAIRS))
-def pairwise_distance(spark, d):
-    v = fixtures.vectors(spark, d)
-    return spatial.pairwise_distance(v.where("point_id % 10 = 0"), v).select(*EDGE, *rounded("d2"))
-
-
 @query(with_views(f"select cloud_id, query_id, point_id, {r6('d2', 'd2')} from pairs", "vectors", more=_PAIRS))
-def pairwise_distance_all(spark, d):
+def pairwise_distance(spark, d):
     v = fixtures.vectors(spark, d)
     return spatial.pairwise_distance(v, v).select(*EDGE, *rounded("d2"))
 
@@ -417,10 +425,13 @@ def knn(spark, d):
     return spatial.knn_join(v, v, 5, include_self=False).select(*EDGE, F.col("rank").cast("int").alias("rank"), *rounded("d2"))
 
 
-@query(with_views(f"select n.cloud_id, n.query_id, {r6('sum(v.z/(d2+1e-8))/sum(1/(d2+1e-8))', 'z')} from near n join vectors v on v.point_id = n.point_id where k <= 3 group by n.cloud_id, n.query_id", "vectors", more=f"{_PAIRS}, {_KNN.replace('query_id <> point_id', 'point_id % 2 = 0 and query_id % 2 = 1')}"))
+_OTHER = _PAIRS.replace("from vectors a", "from others a")
+
+
+@query(with_views(f"select n.cloud_id, n.query_id, {r6('sum(v.z/(d2+1e-8))/sum(1/(d2+1e-8))', 'z')} from near n join vectors v on v.point_id = n.point_id where k <= 3 group by n.cloud_id, n.query_id", "vectors", "others", more=f"{_OTHER}, {_KNN.replace('query_id <> point_id', 'true')}"))
 def knn3_interpolate(spark, d):
-    v = fixtures.vectors(spark, d)
-    return spatial.interpolate(v.where("point_id % 2 = 1"), v.where("point_id % 2 = 0"), ["z"]).select("cloud_id", "query_id", *rounded("z"))
+    """z of the vectors (dimensions 1 to 3) at the places that dimensions 4 to 6 of all of them give."""
+    return spatial.interpolate(fixtures.vectors(spark, d, 4), fixtures.vectors(spark, d), ["z"]).select("cloud_id", "query_id", *rounded("z"))
 
 
 _LOF = """edges as (select cloud_id, query_id, point_id, sqrt(d2) as d from near where k <= 20), kd as (select cloud_id, query_id, max(d) as kd from edges group by all),

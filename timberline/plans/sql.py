@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timberline.fixtures import CLOUD_SQL, VECTORS_DUCK, forest_sql
+from timberline.fixtures import CLOUD_SQL, forest_sql, vectors_sql
 
 
 def with_views(body: str, *views: str, more: str = "") -> str:
-    known = {"cloud": CLOUD_SQL, "forest": forest_sql(), "vectors": VECTORS_DUCK}
+    known = {"cloud": CLOUD_SQL, "forest": forest_sql(), "vectors": vectors_sql(1, "list_extract"), "others": vectors_sql(4, "list_extract")}
     parts = [f"{v} as ({known[v]})" for v in views]
     return f"with {', '.join(parts)}{', ' + more if more else ''} {body}"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import os
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from timberline.sources import las, pcd
 PCD_NAMES = {"intensity": "Intensity", "original_cloud_index": "Original_cloud_index", "gps_time": "GpsTime", "illuminance": "Illuminance"}
 CSV_NAMES = {"x": "x", "y": "y", "z": "z", "intensity": "Intensity", "illuminance": "Illuminance", "gps_time": "GpsTime", "original_cloud_index": "Original_cloud_index", "r": "red", "g": "green", "b": "blue"}
 TXT_NAMES = {"x": "X", "y": "Y", "z": "Z", "intensity": "Intensity", "r": "R", "g": "G", "b": "B", "original_cloud_index": "Original_cloud_index", "gps_time": "GpsTime", "illuminance": "Illuminance_(PCV)"}
+CSV_NAMES_BACK = [(stored, name) for name, stored in CSV_NAMES.items()]
 LAS_NAMES = {"r": "red", "g": "green", "b": "blue", "original_cloud_index": "point_source_id"}
 SUFFIXES = ("pcd", "las", "laz", "csv", "txt", "h5")
 BATCH = 65536
@@ -125,39 +127,63 @@ def decode_column(files: DataFrame, kind: str, path: str = "path", content: str
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Add path and the position of each line in its file."""
+    """Add path and the position of each line in its file.
+
+    Lines of a block follow each other in one task, so their place in the block is a difference of row numbers; a row for
+    each block (path, first byte) then tells how many lines come before it. No file is sorted, and none has to fit a task."""
     held = lines.withColumns({"path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
-    place = F.row_number().over(Window.partitionBy("path").orderBy("_block", "_row")) - 1
-    return held.withColumn("point_id", place.cast("long")).drop("_block", "_row")
+    blocks = held.groupBy("path", "_block").agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(F.col("path").alias("_path"), F.col("_block").alias("_at"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"))
+    joined = held.join(before, (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at")))
+    return joined.withColumn("point_id", (F.col("_row") + F.col("_shift")).cast("long")).drop("_block", "_row", "_path", "_at", "_shift")
 
 
 def _cloud_of(path: str = "path"):
     return F.split(F.element_at(F.split(path, "/"), -1), r"\.")[0]
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """First line of each file: path, head. Only blocks that begin a file are looked at."""
+    first = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).where("block = 0")
+    return first.groupBy("path").agg(F.min_by("value", "row").alias("head"))
+
+
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.option("header", True).csv(path)
-    if "x" not in lines.columns:
-        raise ValueError(f"{path} has no column x")
-    numbered = _numbered(lines)
+    """Files are read by their own headers: those of one header together."""
+    heads: dict[str, list[str]] = {}
+    for r in _heads(spark.read.text(path)).collect():  # a row for each file
+        heads.setdefault(r["head"].removeprefix("\ufeff"), []).append(r["path"])
     names = {v: k for k, v in CSV_NAMES.items()}
-    return numbered.select(_cloud_of().alias("cloud_id"), "point_id", "path", *[F.col(f"`{c}`").cast("double").cast(POINT_SCHEMA[names[c]].dataType).alias(names[c]) for c in lines.columns if c in names])
+    parts = []
+    for head, paths in sorted(heads.items()):
+        columns = [c.strip().strip('"') for c in head.split(",")]
+        if "x" not in columns:
+            raise ValueError(f"{paths[0]} has no column x")
+        schema = ", ".join(f"`_{k}` string" for k in range(len(columns)))
+        numbered = _numbered(spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths))
+        fields = [F.col(f"_{k}").cast("double").cast(POINT_SCHEMA[names[c]].dataType).alias(names[c]) for k, c in enumerate(columns) if c in names]
+        absent = [F.lit(None).cast(POINT_SCHEMA[n].dataType).alias(n) for c, n in CSV_NAMES_BACK if c not in columns]
+        parts.append(numbered.select(_cloud_of().alias("cloud_id"), "point_id", "path", *fields, *absent))
+    if not parts:
+        raise ValueError(f"{path} holds no line")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _read_txt(spark: SparkSession, path: str) -> DataFrame:
     """A first line that starts with // names the columns; without one they are the default ones and no line is lost."""
-    numbered = _numbered(spark.read.text(path)).where(F.trim("value") != "")
-    first = numbered.groupBy("path").agg(F.min_by("value", "point_id").alias("head"))
-    heads = first.select("path", F.when(F.col("head").startswith("//"), F.split(F.trim(F.regexp_replace("head", "^//", "")), r"\s+")).otherwise(F.array(*[F.lit(v) for v in TXT_NAMES.values()])).alias("names"))
-    rows = numbered.where(~F.col("value").startswith("//")).join(F.broadcast(heads), "path")  # a row for each file
+    lines = spark.read.text(path)
+    numbered = _numbered(lines).where(F.trim("value") != "")
+    heads = _heads(lines.where(F.trim("value") != "")).select("path", F.when(F.col("head").startswith("//"), F.split(F.trim(F.regexp_replace("head", "^//", "")), r"\s+")).otherwise(F.array(*[F.lit(v) for v in TXT_NAMES.values()])).alias("names"))
+    rows = numbered.where(~F.col("value").startswith("//")).join(heads, "path")
     parts = rows.select("path", "point_id", "names", F.split(F.trim("value"), r"\s+").alias("v"))
 
     def field(name: str):
         spellings = [name, "Gps_Time"] if name == "GpsTime" else [name]
         return F.coalesce(*[F.expr(f"try_element_at(v, nullif(cast(array_position(names, '{s}') as int), 0))") for s in spellings]).cast("double")
 
-    base = F.min("point_id").over(Window.partitionBy("path"))
-    return parts.select(_cloud_of().alias("cloud_id"), (F.col("point_id") - base).alias("point_id"), "path", *[field(v).cast(POINT_SCHEMA[k].dataType).alias(k) for k, v in TXT_NAMES.items()])
+    based = parts.groupBy("path").agg(F.min("point_id").alias("_base"))
+    return parts.join(based, "path").select(_cloud_of().alias("cloud_id"), (F.col("point_id") - F.col("_base")).alias("point_id"), "path", *[field(v).cast(POINT_SCHEMA[k].dataType).alias(k) for k, v in TXT_NAMES.items()])
 
 
 def read_cloud(spark: SparkSession, path: str, kind: str | None = None, pad: bool = True) -> DataFrame:
