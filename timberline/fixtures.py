@@ -35,6 +35,12 @@ def forest_sql(trees: int | None = 5) -> str:
     return FOREST_SQL.format(tree="l_suppkey" if trees is None else f"cast(l_suppkey % {trees} as int)", pid=POINT_ID)
 
 
+def grove_sql() -> str:
+    """The forest with a bright shrub of a trunk's foot beside each tree, so that there is more than one cluster to choose from."""
+    f = f"({forest_sql()}) f"
+    return f"select * from {f} union all select cloud_id, -1 - point_id as point_id, x + 1.5e0 as x, y, z, 6000.0e0 as intensity, 2.0e0 as original_cloud_index from {f} where intensity >= 5000.0e0 and z < 1.0e0"
+
+
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"from {table}", "from {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
@@ -47,5 +53,9 @@ def forest(spark: SparkSession, sf_dir: str, trees: int | None = 5) -> DataFrame
     return _view(spark, sf_dir, "lineitem", forest_sql(trees))
 
 
+def grove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "lineitem", grove_sql())
+
+
 def vectors(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
     return _view(spark, sf_dir, "embeddings", vectors_sql(first))

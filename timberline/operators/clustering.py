@@ -127,3 +127,15 @@ def cluster_points(df: DataFrame, min_size: int = 10) -> DataFrame:
     kind = df.schema["cloud_id"].dataType.simpleString()
     found = df.select("cloud_id", "point_id", "x", "y", "z").groupBy("cloud_id").applyInPandas(label, f"cloud_id {kind}, point_id long, cluster long")
     return df.join(found, ["cloud_id", "point_id"])
+
+
+def reachability(df: DataFrame, min_size: int = 10) -> DataFrame:
+    """cloud_id, points, core_sum and tree_sum: the core distances of each cloud and the lengths of its spanning tree, added up."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        xyz = pdf.sort_values("point_id")[["x", "y", "z"]].to_numpy(float)
+        core = core_distances(xyz, min_size)
+        return pd.DataFrame({"cloud_id": [pdf["cloud_id"].iloc[0]], "points": [len(xyz)], "core_sum": [core.sum()], "tree_sum": [spanning_tree(xyz, core)[2].sum() if len(xyz) > 1 else 0.0]})
+
+    kind = df.schema["cloud_id"].dataType.simpleString()
+    return df.select("cloud_id", "point_id", "x", "y", "z").groupBy("cloud_id").applyInPandas(measure, f"cloud_id {kind}, points long, core_sum double, tree_sum double")

@@ -3,6 +3,8 @@ partitioning; every transformation also takes its parameters as columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,21 +48,21 @@ def sample_fps(df: DataFrame, n: int, start: int = 0) -> DataFrame:
     return farthest_points(df, n, start).join(df, ["cloud_id", "point_id"])
 
 
-def shuffle_clouds(clouds: DataFrame, seed: int) -> DataFrame:
+def shuffle_clouds(clouds: DataFrame, seed: int, draw: Column | None = None) -> DataFrame:
     """Add a random position to each cloud of a one-row-per-cloud frame, whatever the partitioning.
 
     The draws are dealt into SLICES equal ranges; each is sorted by itself, after the counts of those before it."""
-    drawn = clouds.withColumn("_u", uniform(seed, "cloud_id")).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+    drawn = clouds.withColumn("_u", uniform(seed, "cloud_id") if draw is None else draw).withColumn("_slice", F.floor(F.col("_u") * SLICES))
     counts = drawn.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = counts.select("_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most SLICES rows
     place = F.row_number().over(Window.partitionBy("_slice").orderBy("_u", "cloud_id")) - 1
     return drawn.join(F.broadcast(before), "_slice").select(*clouds.columns, (F.col("_before") + place).alias("position"))
 
 
-def shuffle_points(df: DataFrame, seed: int) -> DataFrame:
-    """The same permutation of positions for all clouds: new point ids 0, 1, ... in each."""
+def shuffle_points(df: DataFrame, seed: int, draw: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The same permutation of positions for all clouds: new point ids 0, 1, ... in each. ``draw`` makes the number to sort a position by."""
     ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")) - 1)
-    order = F.row_number().over(Window.partitionBy("cloud_id").orderBy(uniform(seed, "_k"), "_k")) - 1
+    order = F.row_number().over(Window.partitionBy("cloud_id").orderBy(uniform(seed, "_k") if draw is None else draw(F.col("_k")), "_k")) - 1
     return ranked.withColumn("point_id", order.cast("long")).drop("_k")
 
 
@@ -133,6 +135,6 @@ def dropout(df: DataFrame, ratio: Column | float | None = None, seed: int = 0, m
     return wide.withColumns({c: F.when(u <= part, F.col(f"_first.{c}")).otherwise(F.col(c)) for c in XYZ}).select(*df.columns)
 
 
-def augment(df: DataFrame, seed: int = 0) -> DataFrame:
+def augment(df: DataFrame, seed: int = 0, angle: Column | float | None = None, ratio: Column | float | None = None, draw: Column | None = None) -> DataFrame:
     """A random turn about z, then dropout of at most a tenth."""
-    return dropout(rotate_z(df, seed=seed), seed=seed, most=0.1)
+    return dropout(rotate_z(df, angle, seed=seed), ratio, seed=seed, most=0.1, draw=draw)

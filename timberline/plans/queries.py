@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline import fixtures, schema
@@ -304,6 +305,12 @@ def _trunk(spark: SparkSession, d: str) -> DataFrame:
     return points.intensity_cut(points.height_band(fixtures.forest(spark, d)))
 
 
+_D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+
+_LOF = """edges as (select cloud_id, query_id, point_id, sqrt(d2) as d from near where k <= 20), kd as (select cloud_id, query_id, max(d) as kd from edges group by all),
+lrd as (select e.cloud_id, e.query_id, 1.0e0/(avg(greatest(d, kd.kd)) + 1e-10) as lrd from edges e join kd on e.cloud_id = kd.cloud_id and e.point_id = kd.query_id group by all),
+lof as (select e.cloud_id, e.query_id as point_id, avg(o.lrd)/min(s.lrd) as lof from edges e join lrd o on e.cloud_id = o.cloud_id and e.point_id = o.query_id join lrd s on e.cloud_id = s.cloud_id and e.query_id = s.query_id group by e.cloud_id, e.query_id)"""
+
 _BREAST = "breast as (select t.* from trunk t join (select cloud_id, min(z) as lo from trunk group by cloud_id) l on t.cloud_id = l.cloud_id where z >= lo + 1.3e0 and z < lo + 1.4e0)"
 _CIRCLE = f"select cloud_id, n, {r6s(['xc', 'yc', 'r'])} from fit"
 
@@ -318,7 +325,7 @@ def circle_hyper(spark, d):
     return trees.breast_fits(_trunk(spark, d), "hyper").select("cloud_id", "n", *rounded("xc", "yc", "r"))
 
 
-@query()
+@query(with_views(_CIRCLE, "forest", more=f"{sql.TRUNK}, {_BREAST}, {sql.geometric('fit', 'breast', 'cloud_id')}"))
 def circle_geometric(spark, d):
     return trees.breast_fits(_trunk(spark, d), "ls").select("cloud_id", "n", *rounded("xc", "yc", "r"))
 
@@ -338,9 +345,29 @@ def tree_dbh(spark, d):
     return found.select("cloud_id", *[(F.col(c) + 0.0).alias(c) for c in ("diameter_ls", "diameter_hls")])
 
 
-@query()
+def _two_fits(trunk: str = "trunk") -> str:
+    """CTE dbh2: diameters and median radii by the geometric and the hyper fit."""
+    sides = []
+    for k, name in enumerate(("ls", "hls")):
+        r = f"(case when good = 10 then least{k} else 0.0e0 end)"
+        sides.append((name, k, r))
+    raised = ", ".join(f"case when b{k} > 1.05e0*{r} and b{k} < (1.05e0+0.1e0)*{r} then b{k} else {r} end as r{k}, median{k}" for _, k, r in sides)
+    ends = ", ".join(f"round(200.0e0*(case when r{k} > 0.65e0 or r{k} > 2.1e0*q or r{k} = 0 then q else r{k} end), 2) + 0.0e0 as diameter_{n}, {r6(f'median{k}', f'r_median_{n}')}" for n, k, _ in sides)
+    return f"""span2 as (select cloud_id, min(z) as lo, max(z) as hi, ((max(x)-min(x))+(max(y)-min(y)))/4.0e0 as q from {trunk} group by cloud_id),
+slabs2 as (select * from (select t.*, cast(floor((z-lo)/nullif((hi-lo)/10, 0.0e0)) as int) as layer from {trunk} t join span2 l on t.cloud_id = l.cloud_id) a where layer between 0 and 9),
+breast2 as (select t.* from {trunk} t join span2 l on t.cloud_id = l.cloud_id where z >= lo + 1.3e0 and z < lo + 1.4e0),
+{sql.geometric("sg", "slabs2", "cloud_id, layer")}, {sql.hyper("sh", "slabs2", "cloud_id, layer")}, {sql.geometric("bg", "breast2", "cloud_id")}, {sql.hyper("bh", "breast2", "cloud_id")},
+both2 as (select g.cloud_id, g.r as r0, h.r as r1, (g.r is not null and h.r is not null) as ok from sg g join sh h on g.cloud_id = h.cloud_id and g.layer = h.layer),
+least2 as (select cloud_id, count(*) filter (ok) as good, min(r0) as least0, min(r1) as least1, quantile_cont(case when ok then r0 else 0.0e0 end, 0.5) as median0, quantile_cont(case when ok then r1 else 0.0e0 end, 0.5) as median1 from both2 group by cloud_id),
+chosen2 as (select s.cloud_id, q, coalesce(good, 0) as good, coalesce(least0, 0.0e0) as least0, coalesce(least1, 0.0e0) as least1, coalesce(median0, 0.0e0) as median0, coalesce(median1, 0.0e0) as median1, case when g.r is not null and h.r is not null then g.r else 0.0e0 end as b0, case when g.r is not null and h.r is not null then h.r else 0.0e0 end as b1
+ from span2 s left join least2 l on s.cloud_id = l.cloud_id left join bg g on s.cloud_id = g.cloud_id left join bh h on s.cloud_id = h.cloud_id),
+dbh2 as (select cloud_id, {ends} from (select cloud_id, q, {raised} from chosen2) a)"""
+
+
+@query(with_views("select * from dbh2", "forest", more=f"{sql.TRUNK}, {_two_fits()}"))
 def tree_dbh_two_fits(spark, d):
-    return trees.diameters(_trunk(spark, d))
+    found = trees.diameters(_trunk(spark, d))
+    return found.select("cloud_id", *[(F.col(c) + 0.0).alias(c) for c in ("diameter_ls", "diameter_hls")], *rounded("r_median_ls", "r_median_hls"))
 
 
 @query(with_views(f"select cloud_id, {r6('cx', 'coord_x')}, {r6('cy', 'coord_y')}, {r6('cz', 'coord_z')} from base_at", "forest", more=f"{sql.TRUNK}, {sql.coordinate('base_at', 0.0, 0.6, 0.6)}"))
@@ -371,9 +398,10 @@ def circle_frame(spark, d):
     return points.circle_frame(rows).select("cloud_id", "vertex", *rounded(*XYZ))
 
 
-@query()
+@query(with_views("select 'all' as cloud_id, t.point_id, k as cluster from trunk t join (select cloud_id, dense_rank() over (order by min(point_id)) - 1 as k from trunk group by cloud_id) c on t.cloud_id = c.cloud_id", "forest", more=sql.TRUNK))
 def hdbscan_labels(spark, d):
-    return clustering.cluster_points(_trunk(spark, d)).select(*ID, "cluster")
+    """The trunks of all trees as one cloud: each is a cluster of its own, numbered by its least point."""
+    return clustering.cluster_points(_trunk(spark, d).withColumn("cloud_id", F.lit("all"))).select(*ID, "cluster")
 
 
 @query()
@@ -381,19 +409,31 @@ def trunk_score(spark, d):
     return score_clusters(_trunk(spark, d).withColumn("cluster", F.lit(0).cast("long")))
 
 
-@query()
+_STEM = f"""trunk0 as (select g.* from grove g join (select cloud_id, min(z) as lo from grove group by cloud_id) l on g.cloud_id = l.cloud_id where z <= lo + 3.0e0 and intensity >= 5000.0e0 and original_cloud_index = 0),
+stem_pairs as (select a.cloud_id, a.point_id as query_id, b.point_id, {_D2} as d2 from trunk0 a join trunk0 b on a.cloud_id = b.cloud_id and a.point_id <> b.point_id and abs(a.z - b.z) < 0.5e0),
+near as (select *, row_number() over (partition by cloud_id, query_id order by d2, point_id) as k from stem_pairs where d2 < 0.25e0), {_LOF},
+trunk as (select t.* from trunk0 t join lof l on t.point_id = l.point_id and t.cloud_id = l.cloud_id join (select cloud_id, quantile_cont(-lof, 0.1) as q from lof group by cloud_id) b on t.cloud_id = b.cloud_id where -lof >= q)"""
+
+
+@query(with_views(f"select cloud_id, point_id, {r6s(XYZ)} from trunk", "grove", more=_STEM))
 def trunk_slice(spark, d):
-    return trees.trunk_slice(fixtures.forest(spark, d))[0].select(*ID, *rounded(*XYZ))
+    """In the grove the trunk is the taller of two clusters; the SQL finds its outliers among neighbours within half a metre, of which every point has more than enough."""
+    return trees.trunk_slice(fixtures.grove(spark, d))[0].select(*ID, *rounded(*XYZ))
 
 
-@query()
+_INVENTORY = f"""{_STEM}, {_two_fits()}, {sql.coordinate("base_at", 0.0, 0.6, 0.6, sql.geometric)}, {sql.coordinate("top_at", 1.0, 1.6, 2.6, sql.geometric)},
+leans as (select a.cloud_id, a.cx, a.cy, a.cz, u.cx as ux, u.cy as uy, u.cz as uz, degrees(acos(greatest(-1.0e0, least(1.0e0, (u.cz-a.cz)/sqrt((u.cx-a.cx)*(u.cx-a.cx)+(u.cy-a.cy)*(u.cy-a.cy)+(u.cz-a.cz)*(u.cz-a.cz)))))) as deg from base_at a join top_at u on a.cloud_id = u.cloud_id)"""
+_TREE_COLUMNS = {"coord_x": "cx", "coord_y": "cy", "coord_z": "cz", "custom_x": "ux", "custom_y": "uy", "custom_z": "uz", "lean_deg": "deg", "lean_tan": "tan(radians(deg))", "lean_cos": "cos(radians(deg))"}
+
+
+@query(with_views(f"select l.cloud_id, l.cloud_id as name, {r6('height', 'height')}, {', '.join(r6(e, c) for c, e in _TREE_COLUMNS.items())}, diameter_ls, diameter_hls, 'ok' as status from leans l join dbh2 d on l.cloud_id = d.cloud_id join (select cloud_id, max(z) - min(z) as height from grove group by cloud_id) h on l.cloud_id = h.cloud_id", "grove", more=_INVENTORY))
 def tree_inventory(spark, d):
-    return trees.inventory(fixtures.forest(spark, d))
+    found = trees.inventory(fixtures.grove(spark, d))
+    return found.select("cloud_id", "name", *rounded("height", *_TREE_COLUMNS), *[(F.col(c) + 0.0).alias(c) for c in ("diameter_ls", "diameter_hls")], "status")
 
 
 # distance joins, on the first three dimensions of the vectors
 
-_D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
 _PAIRS = f"pairs as (select a.cloud_id, a.point_id as query_id, b.point_id, {_D2} as d2 from vectors a join vectors b on a.cloud_id = b.cloud_id)"
 EDGE = ["cloud_id", "query_id", "point_id"]
 
@@ -434,11 +474,6 @@ def knn3_interpolate(spark, d):
     return spatial.interpolate(fixtures.vectors(spark, d, 4), fixtures.vectors(spark, d), ["z"]).select("cloud_id", "query_id", *rounded("z"))
 
 
-_LOF = """edges as (select cloud_id, query_id, point_id, sqrt(d2) as d from near where k <= 20), kd as (select cloud_id, query_id, max(d) as kd from edges group by all),
-lrd as (select e.cloud_id, e.query_id, 1.0e0/(avg(greatest(d, kd.kd)) + 1e-10) as lrd from edges e join kd on e.cloud_id = kd.cloud_id and e.point_id = kd.query_id group by all),
-lof as (select e.cloud_id, e.query_id as point_id, avg(o.lrd)/min(s.lrd) as lof from edges e join lrd o on e.cloud_id = o.cloud_id and e.point_id = o.query_id join lrd s on e.cloud_id = s.cloud_id and e.query_id = s.query_id group by e.cloud_id, e.query_id)"""
-
-
 @query(with_views(f"select cloud_id, point_id, {r6('lof', 'lof')} from lof", "vectors", more=f"{_PAIRS}, {_KNN}, {_LOF}"))
 def lof_scores(spark, d):
     return spatial.local_outlier_factors(fixtures.vectors(spark, d)).select(*ID, *rounded("lof"))
@@ -449,22 +484,72 @@ def lof_inliers(spark, d):
     return spatial.lof_inliers(fixtures.vectors(spark, d)).select(*ID)
 
 
-@query()
+_MOMENTS = """closest as (select *, row_number() over (partition by query_id order by d2, point_id) as k from pairs where d2 <= 0.2e0*0.2e0),
+moments as (select query_id, count(*) as n, covar_pop(v.x, v.x) as xx, covar_pop(v.x, v.y) as xy, covar_pop(v.x, v.z) as xz, covar_pop(v.y, v.y) as yy, covar_pop(v.y, v.z) as yz, covar_pop(v.z, v.z) as zz from closest c join vectors v on v.point_id = c.point_id where k <= 30 group by query_id),
+parts as (select *, (xx+yy+zz)/3 as q, xy*xy+xz*xz+yz*yz as off from moments),
+sizes as (select *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*off)/6) as p from parts),
+turns as (select *, ((xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz)) / nullif(2*p*p*p, 0.0e0) as h from sizes),
+least_root as (select query_id, n, greatest(q + 2*p*cos(acos(greatest(-1.0e0, least(1.0e0, coalesce(h, 0.0e0))))/3 + 2*pi()/3), 0.0e0) as root from turns)"""
+
+
+@query(with_views(f"select 'v' as cloud_id, query_id as point_id, n, true as unit, true as up, {r6('case when n < 3 then 0.0e0 else root end', 'spread')} from least_root", "vectors", more=f"{_PAIRS}, {_MOMENTS}"))
 def normals_pca(spark, d):
-    return spatial.estimate_normals(fixtures.vectors(spark, d), radius=0.2).select(*ID, *rounded("nx", "ny", "nz"))
+    """How far the neighbours of each point spread along its normal: the least root of their covariances, which SQL has in closed form."""
+    v = fixtures.vectors(spark, d)
+    normals = spatial.estimate_normals(v, radius=0.2).select("cloud_id", "point_id", "nx", "ny", "nz")
+    place = F.row_number().over(Window.partitionBy("cloud_id", "query_id").orderBy("d2", "point_id"))
+    near = spatial.radius_join(v, v, 0.2).withColumn("k", place).where("k <= 30").select("cloud_id", "query_id", *XYZ)
+    along = near.join(normals.withColumnRenamed("point_id", "query_id"), ["cloud_id", "query_id"]).withColumn("t", F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz"))
+    size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    found = along.groupBy("cloud_id", F.col("query_id").alias("point_id")).agg(F.count("*").alias("n"), F.bool_and(F.abs(size - 1) < 1e-9).alias("unit"), F.bool_and(F.col("nz") >= 0).alias("up"), F.var_pop("t").alias("t"))
+    return found.select(*ID, "n", "unit", "up", (F.round(F.when(F.col("n") < 3, 0.0).otherwise(F.col("t")), 6) + 0.0).alias("spread"))
+
+
+_PRIM = """core as (select cloud_id, query_id, sqrt(max(d2)) as core from near where k <= 10 group by all),
+prim(step, cloud_id, point_id, x, y, z, core, best, inside, of, total) as (
+ select 0, v.cloud_id, point_id, x, y, z, core, cast('infinity' as double), point_id = min(point_id) over (), min(point_id) over (), 0.0e0 from vectors v join core c on c.query_id = point_id
+ union all
+ select step + 1, cloud_id, point_id, x, y, z, core, best, inside or point_id = nxt, nxt, total + reach from (
+  select *, first_value(point_id) over w as nxt, first_value(best) over w as reach from (
+   select p.step, p.cloud_id, p.point_id, p.x, p.y, p.z, p.core, least(p.best, greatest(sqrt((p.x-o.x)*(p.x-o.x)+(p.y-o.y)*(p.y-o.y)+(p.z-o.z)*(p.z-o.z)), p.core, o.core)) as best, p.inside, p.total
+   from prim p join prim o on o.point_id = p.of) a
+  window w as (order by case when inside then 1 else 0 end, best, point_id)) b where step < (select count(*) - 1 from vectors))"""
+
+
+@query(with_views(f"select cloud_id, count(*) as points, {r6('sum(core)', 'core_sum')}, {r6('max(total)', 'tree_sum')} from prim where step = (select max(step) from prim) group by cloud_id", "vectors", more=f"{_PAIRS}, {_KNN}, {_PRIM}").replace("with ", "with recursive ", 1))
+def hdbscan_tree(spark, d):
+    return clustering.reachability(fixtures.vectors(spark, d)).select("cloud_id", "points", *rounded("core_sum", "tree_sum"))
 
 
 # sampling and augmentation, with explicit parameters where SQL checks them
 
 
-@query()
+_FARTHEST = """fps(rank, point_id, x, y, z, far, of) as (
+ select 0, point_id, x, y, z, cast(1e10 as double), min(point_id) over () from vectors
+ union all
+ select rank + 1, point_id, x, y, z, far, first_value(point_id) over (order by far desc, point_id) from (
+  select p.rank, p.point_id, p.x, p.y, p.z, least(p.far, (p.x-o.x)*(p.x-o.x)+(p.y-o.y)*(p.y-o.y)+(p.z-o.z)*(p.z-o.z)) as far from fps p join fps o on o.point_id = p.of) a where rank < 127)"""
+
+
+@query(with_views("select 'v' as cloud_id, cast(rank as int) as rank, of as point_id from fps group by all", "vectors", more=_FARTHEST).replace("with ", "with recursive ", 1))
 def fps_sample(spark, d):
-    return sampling.farthest_points(fixtures.forest(spark, d), 512)
+    return sampling.farthest_points(fixtures.vectors(spark, d), 128)
 
 
-@query()
+@query(with_views(f"select 'v' as cloud_id, cast(f.rank as int) as rank, f.of as point_id, {', '.join(r6(f'v.{c}', c) for c in XYZ)} from (select rank, of from fps group by all) f join vectors v on v.point_id = f.of", "vectors", more=_FARTHEST).replace("with ", "with recursive ", 1))
+def fps_cloud(spark, d):
+    return sampling.sample_fps(fixtures.vectors(spark, d), 128).select("cloud_id", "rank", "point_id", *rounded(*XYZ))
+
+
+@query(with_views(f"select cloud_id, row_number() over (partition by cloud_id order by (k*7919) % 104729, k) - 1 as point_id, {r6s(XYZ)} from (select *, row_number() over (partition by cloud_id order by point_id, z) - 1 as k from cloud) a", "cloud"))
 def shuffled_points(spark, d):
-    return sampling.shuffle_points(fixtures.forest(spark, d), 7).select(*ID, *rounded(*XYZ))
+    return sampling.shuffle_points(fixtures.cloud(spark, d), 7, lambda k: (k * 7919) % 104729).select(*ID, *rounded(*XYZ))
+
+
+@query("select cast(s_suppkey as varchar) as cloud_id, row_number() over (order by (s_suppkey*7919) % 104729, cast(s_suppkey as varchar)) - 1 as position from supplier")
+def shuffled_clouds(spark, d):
+    clouds = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("cloud_id"))
+    return sampling.shuffle_clouds(clouds, 7, ((F.col("cloud_id").cast("long") * 7919) % 104729) / 104729.0).select("cloud_id", F.col("position").cast("long").alias("position"))
 
 
 def _turn(rows: dict[str, str]) -> str:
@@ -502,6 +587,11 @@ def rotate_perturbation(spark, d):
     return sampling.rotate_perturbation(fixtures.cloud(spark, d), (0.1, -0.05, 0.15)).select(*ID, *rounded(*XYZ))
 
 
+@query(_turn(_euler() | {"n" + c: re.sub(r"\b([xyz])\*", r"n\1*", e) for c, e in _euler().items()}))
+def rotate_perturbation_normals(spark, d):
+    return sampling.rotate_perturbation(fixtures.cloud(spark, d), (0.1, -0.05, 0.15), normals=True).select(*ID, *rounded(*XYZ, "nx", "ny", "nz"))
+
+
 @query(_turn({"x": "x+0.05e0", "y": "y-0.02e0", "z": "z+0.1e0"}))
 def shift_cloud(spark, d):
     return sampling.shift(fixtures.cloud(spark, d), (0.05, -0.02, 0.1)).select(*ID, *rounded(*XYZ))
@@ -523,9 +613,9 @@ def dropout_cloud(spark, d):
     return sampling.dropout(fixtures.cloud(spark, d), 0.3, draw=F.col("intensity") / 10000.0).select(*ID, *rounded(*XYZ))
 
 
-@query()
+@query(with_views("select cloud_id, point_id, " + ", ".join(r6(f"case when intensity/10000.0e0 <= 0.1e0 then first_value({c}) over (partition by cloud_id order by point_id) else {c} end", c) for c in XYZ) + f" from (select cloud_id, point_id, intensity, x*{_C}-y*{_S} as x, x*{_S}+y*{_C} as y, z from cloud) a", "cloud"))
 def augmented(spark, d):
-    return sampling.augment(fixtures.cloud(spark, d), 3).select(*ID, *rounded(*XYZ))
+    return sampling.augment(fixtures.cloud(spark, d), 3, math.pi / 5, 0.1, F.col("intensity") / 10000.0).select(*ID, *rounded(*XYZ))
 
 
 # files

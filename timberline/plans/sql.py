@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from timberline.fixtures import CLOUD_SQL, forest_sql, vectors_sql
+from collections.abc import Callable
+
+from timberline.fixtures import CLOUD_SQL, forest_sql, grove_sql, vectors_sql
 
 
 def with_views(body: str, *views: str, more: str = "") -> str:
-    known = {"cloud": CLOUD_SQL, "forest": forest_sql(), "vectors": vectors_sql(1, "list_extract"), "others": vectors_sql(4, "list_extract")}
+    known = {"cloud": CLOUD_SQL, "forest": forest_sql(), "grove": grove_sql(), "vectors": vectors_sql(1, "list_extract"), "others": vectors_sql(4, "list_extract")}
     parts = [f"{v} as ({known[v]})" for v in views]
     return f"with {', '.join(parts)}{', ' + more if more else ''} {body}"
 
@@ -49,13 +51,28 @@ def hyper(name: str, source: str, keys: str, steps: int = 20) -> str:
     return ", ".join(parts) + ", " + finish(name, f"{name}_n{steps}", keys, "newton")
 
 
+def geometric(name: str, source: str, keys: str, steps: int = 12) -> str:
+    """The geometric fit: Gauss-Newton steps on the centre from the linear fit, unrolled; the radius is the mean distance."""
+    ks = keys.split(", ")
+    on = " and ".join(f"s.{k} = p.{k}" for k in ks)
+    own = ", ".join(f"s.{k}" for k in ks)
+    parts = [kasa(f"{name}_k", source, keys), f"{name}_p0 as (select {keys}, n, xc as a, yc as b from {name}_k)"]
+    for k in range(steps):
+        parts.append(f"{name}_d{k} as (select {own}, p.n, a, b, sqrt((x-a)*(x-a)+(y-b)*(y-b)) as d, (a-x)/sqrt((x-a)*(x-a)+(y-b)*(y-b)) as u, (b-y)/sqrt((x-a)*(x-a)+(y-b)*(y-b)) as v from {source} s join {name}_p{k} p on {on} where a is not null)")
+        parts.append(f"{name}_m{k} as (select {keys}, min(n) as n, min(a) as a, min(b) as b, covar_pop(u, u) as uu, covar_pop(u, v) as uv, covar_pop(v, v) as vv, covar_pop(u, d) as ud, covar_pop(v, d) as vd from {name}_d{k} group by {keys})")
+        parts.append(f"{name}_p{k + 1} as (select {keys}, n, a - (vv*ud - uv*vd)/nullif(uu*vv - uv*uv, 0.0e0) as a, b - (uu*vd - uv*ud)/nullif(uu*vv - uv*uv, 0.0e0) as b from {name}_m{k})")
+    last = f"{name}_e as (select {own}, min(a) as xc, min(b) as yc, avg(sqrt((x-a)*(x-a)+(y-b)*(y-b))) as r from {source} s join {name}_p{steps} p on {on} group by {own})"
+    joined = " and ".join(f"k.{k} = e.{k}" for k in ks)
+    return ", ".join(parts) + f", {last}, {name} as (select {', '.join(f'k.{k}' for k in ks)}, k.n, e.xc, e.yc, e.r from {name}_k k left join {name}_e e on {joined})"
+
+
 TRUNK = "trunk as (select f.* from forest f join (select cloud_id, min(z) as lo from forest group by cloud_id) l on f.cloud_id = l.cloud_id where z <= lo + 3.0e0 and intensity >= 5000.0e0)"
 
 
-def coordinate(name: str, low: float, high: float, top: float) -> str:
-    """CTE ``name``: cloud_id, cx, cy, cz of the trunks by the linear fit."""
+def coordinate(name: str, low: float, high: float, top: float, fit: Callable[[str, str, str], str] = kasa) -> str:
+    """CTE ``name``: cloud_id, cx, cy, cz of the trunks by the linear fit, or another one."""
     return f"""{name}_w as (select t.*, lo from trunk t join (select cloud_id, min(z) as lo from trunk group by cloud_id) l on t.cloud_id = l.cloud_id),
-{name}_r as (select * from {name}_w where z >= lo + {low}e0 and z < lo + {top}e0), {kasa(f"{name}_k", f"{name}_r", "cloud_id")},
+{name}_r as (select * from {name}_w where z >= lo + {low}e0 and z < lo + {top}e0), {fit(f"{name}_k", f"{name}_r", "cloud_id")},
 {name}_b as (select cloud_id, avg(x) as bx, avg(y) as by_, min(lo) as lo from {name}_w where z < lo + {high}e0 group by cloud_id),
 {name} as (select b.cloud_id, case when sqrt((xc-bx)*(xc-bx)+(yc-by_)*(yc-by_)) > 0.2e0 then bx else xc end as cx, case when sqrt((xc-bx)*(xc-bx)+(yc-by_)*(yc-by_)) > 0.2e0 then by_ else yc end as cy, lo + ({high}e0-{low}e0)/2.0e0 + {low}e0 as cz from {name}_b b join {name}_k k on b.cloud_id = k.cloud_id)"""
 
