@@ -543,6 +543,28 @@ def test_pipeline_stages(spark, sf):
     assert last.count() == at.count()
 
 
+def test_pipeline_of_odd_rows(spark, odd, sf):
+    import corpus_pipeline
+
+    at, seen = odd, {r.doc_id for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialise(stage(spark, at, sf))
+        assert at.columns == odd.columns, name
+    left = [(r.doc_id, r.text) for r in at.collect()]
+    assert {i for i, _ in left} == seen - {2}  # 2 is a copy of 1
+    last = corpus_pipeline.STAGES[-1][1](spark, at, sf)
+    assert last.count() == len(left) and last.columns == [*odd.columns, "size", "text_crc32", "shard", "slot"]
+
+
+def test_pipeline_of_nothing(spark, odd, sf):
+    import corpus_pipeline
+
+    at = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        at = corpus_pipeline.materialise(stage(spark, at, sf))
+        assert at.count() == 0
+
+
 def test_sql_checks_run(spark, sf):
     import oracle
 
