@@ -1,5 +1,8 @@
 """A training corpus from ``documents``: toxic documents go, one of each group of near-duplicates stays, documents that
-hold benchmark passages go, scarce domains are repeated to meet their weights, and the rest is dealt into shards."""
+hold benchmark passages go, scarce domains are repeated to meet their weights, and the rest is dealt into shards.
+
+Every stage takes any columns beside doc_id and text, whatever their names, and hands all of them on; it takes null texts
+(as empty ones), null ids, empty tables, and repeated rows and ids. What it does with them stands in each docstring."""
 
 from __future__ import annotations
 
@@ -24,28 +27,29 @@ def _boxed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic. Each row is judged by its text alone, so repeated rows share their fate; null, empty and wordless texts stay.
+    Without a label, or with labels of one kind, that kind is everyone's (all stay, or all go)."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold=None)
     return toxicity.score_toxicity(_boxed(docs), model, keep=["_doc"]).where("predicted = 0").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates, that of the least id, a null id last; of repeated rows one stays. Null, empty and wordless texts are no one's duplicates, but repeats of such a row under its own id go."""
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word of a benchmark passage."""
+    """Documents without a word of a benchmark passage; null and empty texts stay, repeated rows share their fate. An empty benchmark hits nothing."""
     return decontaminate.decontaminate(_boxed(docs), read(spark, sf_dir, "benchmark"), keep=["_doc"]).where("not contaminated").select("_doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, those of scarce domains more than once."""
+    """All documents, those of scarce domains more than once, none over ``mixing.MOST_REPEATS`` times. Rows of one id and text are repeated alike; a null text is one token."""
     return mixing.mix(docs, read(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and place in it."""
+    """All documents, repeated rows included, with size, text_crc32, shard and slot; columns of these names give way. Ties in size don't matter: rows are ordered by hashes of text and id."""
     return sharding.shard(docs)
 
 
