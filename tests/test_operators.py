@@ -202,6 +202,16 @@ def test_distance_joins_match_brute_force(spark):
     assert [(r.nx, r.ny, r.nz) for r in normals] == [(0, 0, 1)] * 2
 
 
+@pytest.mark.parametrize("include_self", [True, False])
+def test_neighbours_of_small_and_large_clouds_agree(spark, monkeypatch, include_self):
+    both = frame(spark, np.round(RNG.random((120, 3)), 1), cloud="a").unionByName(frame(spark, RNG.random((30, 3)), cloud="b"))
+    found = []
+    for small in (0, 40, 1000):
+        monkeypatch.setattr(spatial, "SMALL", small)
+        found.append(sorted(map(tuple, spatial.knn_join(both, both, 6, include_self).select("cloud_id", "query_id", "point_id", "d2", "rank").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 900
+
+
 def test_normals_of_a_plane(spark):
     flat = np.column_stack((RNG.random((80, 2)) * 0.3, np.zeros(80)))
     for r in spatial.estimate_normals(frame(spark, flat), 0.2).collect():

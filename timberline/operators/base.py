@@ -1,7 +1,12 @@
-"""Statistics of groups attached to their rows by partial aggregates and a join."""
+"""Statistics of groups attached to their rows by partial aggregates and a join, and the groups within an Arrow batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +22,21 @@ def attach(df: DataFrame, keys: list[str] | str, **stats: Column) -> DataFrame:
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     joined = df.join(renamed, on)
     return joined.drop(*[f"_of_{k}" for k in keys])
+
+
+def begins(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """True at the first row of each run of equal values in the first ``keys`` columns; nulls are equal."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in range(keys):
+        column = batch.column(k)
+        new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]).fill_null(False))
+        new[1:] |= np.asarray(pc.xor(column[1:].is_null(), column[:-1].is_null()))
+    return new
+
+
+def pieces(batch: pa.RecordBatch, keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of a batch that is sorted by its first ``keys`` columns."""
+    first = np.append(np.flatnonzero(begins(batch, keys)), batch.num_rows)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)

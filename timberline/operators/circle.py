@@ -10,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.columns import ratio
-from timberline.operators.base import attach
+from timberline.operators.base import attach, begins
 
 NEWTON_STEPS = 20
 FLAT = 1e-14
@@ -123,24 +122,17 @@ def least_squares(df: DataFrame, keys: list[str]) -> DataFrame:
 
     def fit(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
         """The circles of all groups but the last one, which may go on, and what is left of the rows."""
-        table = pa.Table.from_batches(held).combine_chunks()
-        new = np.zeros(len(table), bool)
-        new[:1] = True
-        for k in range(len(keys)):
-            column = table.column(k).combine_chunks()
-            new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]).fill_null(False))
-            new[1:] |= np.asarray(pc.xor(column[1:].is_null(), column[:-1].is_null()))
-        first = np.flatnonzero(new)
-        end = len(table) if last else first[-1]
-        first = first[first < end]
-        rest = table.slice(end).to_batches()
+        rows = pa.concat_batches(held)
+        first = np.flatnonzero(begins(rows, len(keys)))
+        end = len(rows) if last else first[-1]
+        first, rest = first[first < end], [rows.slice(end)]
         if not len(first):
             return None, rest
-        x, y = (np.asarray(table.column(len(keys) + k).combine_chunks()[:end]).astype(float) for k in (0, 1))
+        x, y = (np.asarray(rows.column(len(keys) + k)[:end]).astype(float) for k in (0, 1))
         found = geometric_circles(x, y, first)
-        own = table.select(range(len(keys))).take(pa.array(first)).combine_chunks()
+        own = rows.take(pa.array(first))
         circle = [pa.array(c, mask=np.isnan(c)) for c in found.T]
-        return pa.RecordBatch.from_arrays([*(own.column(k).combine_chunks() for k in range(len(keys))), pa.array(np.diff(np.append(first, end))), *circle], [*keys, "n", "xc", "yc", "r"]), rest
+        return pa.RecordBatch.from_arrays([*own.columns[: len(keys)], pa.array(np.diff(np.append(first, end))), *circle], [*keys, "n", "xc", "yc", "r"]), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -28,6 +28,9 @@ def farthest_indices(xyz: np.ndarray, n: int, start: int = 0) -> np.ndarray:
         step = xyz - xyz[at]
         np.minimum(left, np.einsum("ij,ij->i", step, step), out=left)
         at = int(left.argmax())
+        if left[at] == 0:  # every place is taken: the rest is the first point
+            out[k + 1 :] = at
+            break
     return out
 
 
