@@ -7,7 +7,7 @@ counted before they are shuffled; one of each is sorted, and a run that occurs t
 runs that share their hash with a different run (or with themselves), goes through the suffix sort: sort sampled triples
 (positions 1 and 2 modulo 3), recurse on their names, merge the remaining suffixes, then compare the prefixes of neighbours.
 
-Crowded buckets are parted by what their windows have in common, twice if need be, and equal parts counted again; what is
+Crowded buckets are parted by what their windows have in common, coarsely and then ever finer, and equal parts counted again; what is
 crowded even then is sorted as DataFrames (``suffixsort``), which needs no group in one place. All texts are named by 128
 bits of hash, so copies share their spans and no row number is relied on.
 """
@@ -29,8 +29,8 @@ from timberline.llm.suffixsort import repeated_places
 LENGTH, GRAM = 400, 32
 #: Symbols of small buckets that are sorted together, and the size from which a bucket is crowded (names must stay under 2**21).
 SORT_SYMBOLS, HOT_BYTES = 600_000, 1_000_000
-#: Starts in a part of a crowded bucket's string, first and if that is still crowded.
-STEPS = (36, 6)
+#: Starts in a part of a crowded bucket's string: coarse parts first, finer ones of what is still crowded and not counted yet.
+STEPS = (128, 32, 8)
 _FACTORS = odd_numbers(20, 61)
 
 
@@ -309,7 +309,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = each.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.max("times").alias("most"))
     wanted = each.join(buckets.where("once > 0 and (n > 1 or most > 1)").select("m"), "m").select("of.*", "m", "c")
     strings = materialise(_cut_out(wanted, texts, length))
-    return whole.unionByName(_settled(strings.withColumns({"gram": F.col("m"), "lead": F.lit(0).cast("long")}), length, STEPS))
+    return whole.unionByName(_settled(strings.withColumns({"gram": F.col("m"), "lead": F.lit(0).cast("long")}), length, tuple(x for x in STEPS if x < length)))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
