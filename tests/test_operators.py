@@ -131,6 +131,12 @@ def test_records_by_declared_types(spark, tmp_path):
     assert [(r.label, int(r.big)) for r in got] == [(1, 1), (2, 2), (255, 2**63)]
 
 
+def test_headers_of_records(spark, tmp_path):
+    (tmp_path / "h.pcd").write_bytes(pcd.encode(np.zeros(4, [("x", "<f4"), ("label", "u1")]), "binary"))
+    r = files.read_headers(spark, str(tmp_path / "*.pcd")).first()
+    assert (r.fields, r.types, r.points, r.data) == (["x", "label"], ["F4", "U1"], 4, "binary") and list(r.viewpoint) == [0, 0, 0, 1, 0, 0, 0]
+
+
 def test_write_labels(spark, tmp_path):
     files.write_labels(spark.createDataFrame([(1.0, 2.0, 3.0, None), (1.0, 2.0, 3.0, 7)], "x double, y double, z double, label int"), str(tmp_path / "l"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "l")).collect()) == ["1.0000 2.0000 3.0000 1000", "1.0000 2.0000 3.0000 7"]
@@ -288,6 +294,9 @@ def test_inventory_finds_the_trunk(spark):
     row = trees.inventory(frame(spark, xyz, cloud="t", intensity=light)).first()
     assert row.status == "ok" and abs(row.diameter_hls - 30) < 1.5 and abs(row.diameter_ls - 30) < 1.5
     assert abs(row.coord_x) < 0.03 and 0.5 < row.lean_deg < 3.5 and row.height > 9
+    broken = frame(spark, [(float("nan"), 0, 1.0)] * 30, cloud="b", intensity=[6000.0] * 30)
+    both = {r.cloud_id: r.status for r in trees.trunk_slice(frame(spark, xyz, cloud="t", intensity=light).unionByName(broken))[1].collect()}
+    assert both == {"t": "ok", "b": "error"}
     none = trees.inventory(frame(spark, crown, cloud="t", intensity=[100.0] * 300)).first()
     assert none.status == "no_points" and none.diameter_ls is None
 

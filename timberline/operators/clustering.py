@@ -44,6 +44,8 @@ def spanning_tree(xyz: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.nda
 def hdbscan(xyz: np.ndarray, min_size: int = 10) -> np.ndarray:
     """Cluster labels, -1 for noise; clusters by excess of mass, never the whole, numbered by their least point."""
     n = len(xyz)
+    if not np.isfinite(xyz).all():
+        raise ValueError("coordinates must be finite")
     if n < 2 * min_size:
         return np.full(n, -1, np.int64)
     a, b, w = spanning_tree(xyz, core_distances(xyz, min_size))
@@ -118,11 +120,17 @@ def hdbscan(xyz: np.ndarray, min_size: int = 10) -> np.ndarray:
 
 
 def cluster_points(df: DataFrame, min_size: int = 10) -> DataFrame:
-    """Add ``cluster`` to each point, cloud by cloud; memory is in proportion to a cloud's points, time to their square."""
+    """Add ``cluster`` to each point, cloud by cloud; memory is in proportion to a cloud's points, time to their square.
+
+    A cloud that can't be clustered (a coordinate that isn't finite) has null in every row and doesn't fail the others."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id", ignore_index=True)
-        return pd.DataFrame({"cloud_id": pdf["cloud_id"], "point_id": pdf["point_id"], "cluster": hdbscan(pdf[["x", "y", "z"]].to_numpy(float), min_size)})
+        try:
+            found = pd.array(hdbscan(pdf[["x", "y", "z"]].to_numpy(float), min_size), "Int64")
+        except ValueError:
+            found = pd.array([None] * len(pdf), "Int64")
+        return pd.DataFrame({"cloud_id": pdf["cloud_id"], "point_id": pdf["point_id"], "cluster": found})
 
     kind = df.schema["cloud_id"].dataType.simpleString()
     found = df.select("cloud_id", "point_id", "x", "y", "z").groupBy("cloud_id").applyInPandas(label, f"cloud_id {kind}, point_id long, cluster long")

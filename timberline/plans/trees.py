@@ -36,19 +36,20 @@ def trunk_slice(df: DataFrame, height: float = 3.0, intensity: float = 5000.0, s
     The lowest ``height`` metres above the intensity cut are clustered; of clusters of more than ``more_than`` points the
     most probable one that is tall enough and starts near the ground is the trunk, without its local outliers. If none
     qualifies the whole slice is taken (``no_candidate``), and without two distinct labels it is left as it is
-    (``no_clusters``); a cloud without points in the slice has status ``no_points``."""
+    (``no_clusters``), as is that of a cloud which can't be clustered (``error``); a cloud without points in the slice has
+    status ``no_points``."""
     band = intensity_cut(height_band(df, height), intensity)
     labelled = materialise(cluster_points(band, min_cluster), "clusters")  # the groups run once
-    counts = labelled.groupBy("cloud_id").agg(F.min("z").alias("low"), F.count_distinct("cluster").alias("labels"))
+    counts = labelled.groupBy("cloud_id").agg(F.min("z").alias("low"), F.count_distinct("cluster").alias("labels"), F.bool_or(F.col("cluster").isNull()).alias("failed"))
     sized = labelled.where("cluster >= 0").groupBy("cloud_id", "cluster").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax")).where(F.col("n") > more_than)
     scored = score_clusters(labelled.join(sized.select("cloud_id", "cluster"), ["cloud_id", "cluster"], "left_semi"), scorer)
     gated = scored.join(sized, ["cloud_id", "cluster"]).join(counts, "cloud_id").where((F.col("probability") > 0) & (F.col("zmax") - F.col("zmin") > height / 2) & (F.col("zmin") - F.col("low") < 0.25))
     first = gated.withColumn("k", F.row_number().over(Window.partitionBy("cloud_id").orderBy(F.desc("probability"), "cluster"))).where("k = 1").select("cloud_id", F.col("cluster").alias("chosen"))
-    status = df.select("cloud_id").distinct().join(counts.select("cloud_id", "labels"), "cloud_id", "left").join(first, "cloud_id", "left")
-    status = status.select("cloud_id", "chosen", F.when(F.col("labels").isNull(), "no_points").when(F.col("labels") <= 1, "no_clusters").when(F.col("chosen").isNull(), "no_candidate").otherwise("ok").alias("status"))
+    status = df.select("cloud_id").distinct().join(counts.select("cloud_id", "labels", "failed"), "cloud_id", "left").join(first, "cloud_id", "left")
+    status = status.select("cloud_id", "chosen", F.when(F.col("labels").isNull(), "no_points").when(F.col("failed"), "error").when(F.col("labels") <= 1, "no_clusters").when(F.col("chosen").isNull(), "no_candidate").otherwise("ok").alias("status"))
     status = materialise(status, "status")
     judged = labelled.join(status, "cloud_id")
-    early = judged.where("status = 'no_clusters'").select(*band.columns)
+    early = judged.where("status in ('no_clusters', 'error')").select(*band.columns)
     picked = judged.where("status = 'no_candidate' or (status = 'ok' and cluster = chosen)").select(*band.columns)
     return early.unionByName(lof_inliers(picked)), status.select("cloud_id", "status")
 

@@ -336,6 +336,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema)
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """What the headers of PCD files say, a row for each: path, version, fields, types (kind and bytes), counts, width, height, viewpoint, points, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                end = raw.upper().find(b"\nDATA")
+                meta = pcd.parse_header(raw[: raw.find(b"\n", end + 1) + 1].decode("ascii", "replace").splitlines())
+                row = {"path": path, "version": str(meta["version"]), "fields": meta["fields"], "types": [f"{t}{n}" for t, n in zip(meta["type"], meta["size"], strict=True)], "counts": meta["count"]}
+                row |= {"width": meta["width"], "height": meta["height"], "viewpoint": [float(v) for v in meta["viewpoint"]], "points": meta["points"], "data": meta["data"]}
+                yield pa.RecordBatch.from_pylist([row])
+
+    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 16).alias("content"))
+    return head.mapInArrow(run, "path string, version string, fields array<string>, types array<string>, counts array<long>, width long, height long, viewpoint array<double>, points long, data string")
+
+
 def write_labels(df: DataFrame, path: str, intensity: bool = False, default: str = "1000") -> None:
     """Text lines of x, y, z (and intensity) to four decimals and the label, or ``default`` where there is none."""
     numbers = ["x", "y", "z", *(["intensity"] if intensity else [])]
