@@ -21,8 +21,10 @@ def decompress(block: bytes, size: int) -> bytes:
         at += 1
         if start < 0:
             raise ValueError("LZF reference before the start of the block")
-        for k in range(count + 2):  # a reference may run into what it writes
-            out.append(out[start + k])
+        piece = bytes(out[start : start + count + 2])
+        while len(piece) < count + 2:  # a reference may run into what it writes
+            piece += piece[: count + 2 - len(piece)]
+        out += piece
     if len(out) != size:
         raise ValueError(f"LZF block of {len(out)} bytes, {size} expected")
     return bytes(out)
