@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 All of it is DataFrame expressions. Trees are grown from histograms: one aggregate a level gives the gradients of every
-(node, feature, bin), at most 2**depth * features * bins rows, from which the driver takes the best splits. The finished
+(node, feature, bin), at most 2**depth * features * bins rows, from which the driver takes the best splits, halfway
+between the bins that a node has. The finished
 model is a sum of CASE expressions, so scoring is one projection over the scan (and one join for the suffix statistics).
 """
 
@@ -56,15 +57,15 @@ def lexical(df: DataFrame) -> DataFrame:
     return df.select("*", *[f.cast("double").alias(f"x{k}") for k, f in enumerate(features)], F.element_at(F.split("host", r"\."), -1).alias("suffix"), F.regexp_extract("path", r"^/([^/]*)", 1).alias("opening"))
 
 
-def _with_statistics(rows: DataFrame, key: str, at: int) -> DataFrame:
-    """Add the smoothed share of blocked rows, and how common the value is, among the labelled rows of the same ``key``.
+def _with_statistics(rows: DataFrame, key: str, at: int, base: float) -> DataFrame:
+    """Add the share of blocked rows, drawn towards the share ``base`` of all, and how common the value is, among the labelled rows of the same ``key``.
 
     A labelled row takes them from the other half of the labelled rows (``part``), so its own label is never in them."""
     halves = [F.col("part") == 0, F.col("part") == 1]
     known = rows.where("y is not null").groupBy(key).agg(*[f for k, h in enumerate(halves) for f in (F.sum(F.when(h, F.col("y")).otherwise(0)).alias(f"_s{k}"), F.sum(h.cast("int")).alias(f"_n{k}"))])
     pick = lambda c: F.coalesce(F.when(F.col("y").isNull(), F.col(f"{c}0") + F.col(f"{c}1")).when(halves[0], F.col(f"{c}1")).otherwise(F.col(f"{c}0")), F.lit(0))
     wide = rows.join(known, key, "left")
-    return wide.withColumns({f"x{at}": (pick("_s") + 1) / (pick("_n") + 2), f"x{at + 1}": F.log2(pick("_n") + F.lit(0.5))}).drop("_s0", "_n0", "_s1", "_n1")
+    return wide.withColumns({f"x{at}": (pick("_s") + 2 * base) / (pick("_n") + 2), f"x{at + 1}": F.log2(pick("_n") + F.lit(0.5))}).drop("_s0", "_n0", "_s1", "_n1")
 
 
 def _bins(cuts: list[list[float]]) -> list[Column]:
@@ -74,7 +75,8 @@ def _bins(cuts: list[list[float]]) -> list[Column]:
 def fit(sample: DataFrame, features: int) -> tuple[list[list[float]], Column]:
     """Bin edges, and the log-odds of y = 1 as an expression of the bins, from the columns x0, x1, ... and y."""
     edges = sample.select(*[F.percentile_approx(f"x{k}", [j / BINS for j in range(1, BINS)], 10_000).alias(f"x{k}") for k in range(features)]).first()
-    cuts = [sorted(set(edges[k] or [])) for k in range(features)]
+    values = [sorted(set(edges[k] or [])) for k in range(features)]
+    cuts = [[(a + b) / 2 for a, b in zip(own[:-1], own[1:], strict=True)] + own[-1:] for own in values]  # between the values that occur
     rows = materialise(sample.select(*_bins(cuts), "y").groupBy(*[f"b{k}" for k in range(features)], "y").agg(F.count("*").alias("w")))
     total, ones = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.col("y")), F.lit(0))).first()
     base = math.log((ones + 1) / (total - ones + 1))
@@ -96,11 +98,12 @@ def fit(sample: DataFrame, features: int) -> tuple[list[list[float]], Column]:
             for (k, feature), own in sorted(sums.items()):
                 G, H = sum(x[0] for x in own.values()), sum(x[1] for x in own.values())
                 g = h = 0.0
-                for b in sorted(own)[:-1]:
+                there = sorted(own)
+                for b, after in zip(there[:-1], there[1:], strict=True):
                     g, h = g + own[b][0], h + own[b][1]
                     gain = g * g / (h + RIDGE) + (G - g) ** 2 / (H - h + RIDGE) - G * G / (H + RIDGE)
                     if gain > max(1e-6, best.get(k, (0.0,))[0] + 1e-9):
-                        best[k] = (gain, feature, b, RATE * g / (h + RIDGE), RATE * (G - g) / (H - h + RIDGE))
+                        best[k] = (gain, feature, (b + after) // 2, RATE * g / (h + RIDGE), RATE * (G - g) / (H - h + RIDGE))
             for k, (_, feature, b, left, right) in best.items():
                 tree[k] = (feature, b)
                 leaf.pop(k)
@@ -130,8 +133,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id:
     y = (F.col("by_rule") == "block").cast("int")
     rows = materialise(lexical(judged.select("*", rule.alias("rule"), verdict.alias("by_rule"))).withColumns({"y": y, "part": F.pmod(F.xxhash64("id", "url", F.lit(3)), F.lit(2))}))
     first = sum(c.startswith("x") for c in rows.columns)
+    base = rows.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
     for key in ("suffix", "opening"):
-        rows = _with_statistics(rows, key, first)
+        rows = _with_statistics(rows, key, first, base)
         first += 2
     rows = materialise(rows)
     sample = rows.where("y is not null").orderBy(F.xxhash64("id", "url"), "id", "url").limit(sample_rows)
