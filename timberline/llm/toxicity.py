@@ -10,6 +10,8 @@ training documents that the field hasn't seen; the words with a marginal of 0.5
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import LOWER, annotate, crc_of_id, materialise, mix, odd_numbers, read, slices, word_hashes
+from timberline.llm.common import LOWER, annotate, crc_of_id, materialise, mix, odd_numbers, read, slices, small_batches, word_hashes
 from timberline.llm.decontaminate import WORD
 
 #: Labelled documents used in training (of either class those of the least hashes of their ids, toxic ones up to half), and
@@ -256,6 +258,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def _train_in_a_task(sample: DataFrame) -> Field:
+    """``train`` on the rows (text, label) of a bounded sample, in one task of an executor; only the model comes to the driver."""
+    small_batches(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
+
+    made = sample.coalesce(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else train([], [])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fold: int | None = 0, of: int = 5, sample_rows: int = SAMPLE_ROWS) -> Field:
     """Train on at most ``sample_rows`` labelled documents outside the fold; an id labelled twice is toxic if one label says so.
 
@@ -271,8 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     chosen = parts[0].unionByName(parts[1])
     place = 1 + F.pmod(F.xxhash64(id), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int")
     rows = docs.select(F.col(id).alias("id"), F.substring(text, place, F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
-    got = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("id").toArrow()
-    model = train([t or "" for t in got.column("text").to_pylist()], got.column("y").to_pylist())
+    model = _train_in_a_task(rows.groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("id").select("text", "y"))
     used = sample_rows - quota
     if 0 < used < clean or 0 < quota < bad:
         model.doc = (*model.doc[:-1], model.doc[-1] + float(np.log(bad / quota * min(used, clean) / clean)))
