@@ -231,6 +231,13 @@ def test_farthest_points(spark):
     assert sampling.farthest_points(frame(spark, xyz[:3]), 5).count() == 5
 
 
+def test_shuffles_of_many_points(spark):
+    n = 300_000  # int positions times 7919 overflow from 271,179 on
+    rows = spark.range(n).select(F.lit("a").alias("cloud_id"), F.lit(5).alias("point_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("id").cast("double").alias("z"))
+    got = sampling.shuffle_points(rows, 7, lambda k: (k * 7919) % 104729).orderBy("point_id").select("z").toPandas()["z"].to_numpy()
+    assert got.tolist() == sorted(range(n), key=lambda k: (k * 7919 % 104729, k))
+
+
 def test_distance_joins_match_brute_force(spark):
     xyz = RNG.normal(size=(150, 3)) * [1, 1, 4]
     df = frame(spark, xyz)

@@ -63,8 +63,10 @@ def shuffle_clouds(clouds: DataFrame, seed: int, draw: Column | None = None) ->
 
 
 def shuffle_points(df: DataFrame, seed: int, draw: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The same permutation of positions for all clouds: new point ids 0, 1, ... in each. ``draw`` makes the number to sort a position by."""
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id")) - 1)
+    """The same permutation of positions for all clouds: new point ids 0, 1, ... in each. ``draw`` makes the number to sort a position by.
+
+    Positions are longs, so that a draw may multiply them; points that share an id come by their place."""
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy("cloud_id").orderBy("point_id", "z", "x", "y")).cast("long") - 1)
     order = F.row_number().over(Window.partitionBy("cloud_id").orderBy(uniform(seed, "_k") if draw is None else draw(F.col("_k")), "_k")) - 1
     return ranked.withColumn("point_id", order.cast("long")).drop("_k")
 
