@@ -124,6 +124,26 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path, kind):
     assert len(got) == 3007 and all(r.point_id == r.x for r in got)
 
 
+@pytest.mark.parametrize(("kind", "options"), [("txt", {}), ("csv", {}), ("pcd", {"data": "ascii"}), ("pcd", {"data": "binary"})])
+def test_files_are_written_as_rows_come(kind, options):
+    given, taken = [{c: np.arange(3.0) + 3 * k for c in "xyz"} for k in range(4)], []
+    pieces = files.STREAMED[kind]((taken.append(p) or p for p in given), 12, **options)
+    first = next(pieces)
+    assert len(taken) <= 1
+    whole = {c: np.arange(12.0) for c in "xyz"}
+    assert first + b"".join(pieces) == files.ENCODERS[kind](whole, **options)
+
+
+@pytest.mark.parametrize("kind", ["txt", "csv", "pcd"])
+def test_written_clouds_by_id_and_place(spark, tmp_path, kind):
+    both = frame(spark, [(k % 7, 50 - k, k) for k in range(50)], cloud="a").withColumn("intensity", F.lit(2.0)).unionByName(frame(spark, [(1, 2, 3)], cloud="b").withColumn("intensity", F.lit(None).cast("double")))
+    done = files.write_clouds(both.withColumn("point_id", F.lit(1)), str(tmp_path), kind).collect()
+    assert sorted((r.cloud_id, r.points) for r in done) == [("a", 50), ("b", 1)]
+    got = [(r.x, r.y, r.z, r.intensity) for r in files.read_cloud(spark, f"{tmp_path}/a.{kind}").orderBy("point_id").collect()]
+    assert got == sorted((k % 7, 50 - k, k, 2) for k in range(50))
+    assert [(r.x, r.intensity) for r in files.read_cloud(spark, f"{tmp_path}/b.{kind}").collect()] == [(1, 0)]
+
+
 def test_records_by_declared_types(spark, tmp_path):
     records = np.zeros(3, [("x", "<f4"), ("label", "u1"), ("big", "<u8")])
     records["label"], records["big"] = [1, 2, 255], [1, 2, 2**63]

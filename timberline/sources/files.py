@@ -1,10 +1,12 @@
 """Readers and writers of point clouds by file suffix.
 
 Binary formats are read with one task for a file (``binaryFile`` and Arrow batches); text formats by Spark's own readers.
-A cloud is one file, so a writer brings the rows of a cloud into one task; clouds are written side by side."""
+A cloud is one file, so a writer brings the rows of a cloud into one task; clouds are written side by side. Text and PCD
+files are written as the sorted rows come in, so that no cloud has to fit the memory of its task."""
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 from collections.abc import Callable, Iterator
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from timberline.schema import POINT_SCHEMA, conform, fill_missing
+from timberline.operators.base import pieces
+from timberline.schema import FLAT_COLUMNS, POINT_SCHEMA, conform, fill_missing
 from timberline.sources import las, pcd
 
 #: The names that each format gives to the fields.
@@ -135,7 +138,8 @@ def _numbered(lines: DataFrame) -> DataFrame:
     blocks = held.groupBy("path", "_block").agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(F.col("path").alias("_path"), F.col("_block").alias("_at"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"))
-    joined = held.join(before, (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at")))
+    joined = held.join(F.broadcast(before), (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at")))
+    # ``before`` is broadcast: a join by path would move every line, those of a file into one task
     return joined.withColumn("point_id", (F.col("_row") + F.col("_shift")).cast("long")).drop("_block", "_row", "_path", "_at", "_shift")
 
 
@@ -175,7 +179,7 @@ def _read_txt(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     numbered = _numbered(lines).where(F.trim("value") != "")
     heads = _heads(lines.where(F.trim("value") != "")).select("path", F.when(F.col("head").startswith("//"), F.split(F.trim(F.regexp_replace("head", "^//", "")), r"\s+")).otherwise(F.array(*[F.lit(v) for v in TXT_NAMES.values()])).alias("names"))
-    rows = numbered.where(~F.col("value").startswith("//")).join(heads, "path")
+    rows = numbered.where(~F.col("value").startswith("//")).join(F.broadcast(heads), "path")
     parts = rows.select("path", "point_id", "names", F.split(F.trim("value"), r"\s+").alias("v"))
 
     def field(name: str):
@@ -183,7 +187,7 @@ def _read_txt(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(*[F.expr(f"try_element_at(v, nullif(cast(array_position(names, '{s}') as int), 0))") for s in spellings]).cast("double")
 
     based = parts.groupBy("path").agg(F.min("point_id").alias("_base"))
-    return parts.join(based, "path").select(_cloud_of().alias("cloud_id"), (F.col("point_id") - F.col("_base")).alias("point_id"), "path", *[field(v).cast(POINT_SCHEMA[k].dataType).alias(k) for k, v in TXT_NAMES.items()])
+    return parts.join(F.broadcast(based), "path").select(_cloud_of().alias("cloud_id"), (F.col("point_id") - F.col("_base")).alias("point_id"), "path", *[field(v).cast(POINT_SCHEMA[k].dataType).alias(k) for k, v in TXT_NAMES.items()])
 
 
 def read_cloud(spark: SparkSession, path: str, kind: str | None = None, pad: bool = True) -> DataFrame:
@@ -203,24 +207,28 @@ def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: pdf[c].to_numpy() for c in pdf.columns if c in POINT_SCHEMA.names and not pdf[c].isna().all()} | {c: pdf[c].to_numpy(float) for c in "xyz"}
 
 
-def _to_pcd(columns: dict[str, np.ndarray], data: str = "binary") -> bytes:
+def _pcd_records(columns: dict[str, np.ndarray]) -> np.ndarray:
     n = len(columns["x"])
     get = lambda c, empty: np.asarray(columns[c], float).astype(np.float32) if c in columns else np.full(n, empty, np.float32)
     colors = pcd.pack_colors(*(np.nan_to_num(get(c, 0)).astype(np.uint8) for c in "rgb"))
     fields = {c: get(c, np.nan) for c in "xyz"} | {"rgb": colors} | {PCD_NAMES[c]: get(c, np.nan) for c in ("gps_time", "original_cloud_index", "intensity", "illuminance")}
-    return pcd.encode(pcd.records_of(fields), data)
+    return pcd.records_of(fields)
+
 
+def _to_pcd(columns: dict[str, np.ndarray], data: str = "binary") -> bytes:
+    return pcd.encode(_pcd_records(columns), data)
 
 
-def _to_csv(columns: dict[str, np.ndarray]) -> bytes:
+def _to_csv(columns: dict[str, np.ndarray], header: bool = True) -> bytes:
     frame = pd.DataFrame({stored: columns[c].astype(int) if c in "rgb" else columns[c] for c, stored in CSV_NAMES.items() if c in columns})
-    return frame.to_csv(index=False).encode()
+    return frame.to_csv(index=False, header=header).encode()
 
 
-def _to_txt(columns: dict[str, np.ndarray]) -> bytes:
+def _to_txt(columns: dict[str, np.ndarray], header: bool = True) -> bytes:
     have = [c for c in TXT_NAMES if c in columns]
     rows = zip(*(columns[c].tolist() for c in have), strict=True)
-    return ("//" + " ".join(TXT_NAMES[c] for c in have) + "\n" + "".join(" ".join(str(v) for v in row) + "\n" for row in rows)).encode()
+    head = "//" + " ".join(TXT_NAMES[c] for c in have) + "\n" if header else ""
+    return (head + "".join(" ".join(str(v) for v in row) + "\n" for row in rows)).encode()
 
 
 def _to_laz(columns: dict[str, np.ndarray]) -> bytes:
@@ -252,30 +260,89 @@ def _to_h5(columns: dict[str, np.ndarray]) -> bytes:
 ENCODERS: dict[str, Callable[..., bytes]] = {"pcd": _to_pcd, "las": las.encode, "laz": _to_laz, "csv": _to_csv, "txt": _to_txt, "h5": _to_h5}
 
 
-def write_bytes(path: str, content: bytes) -> None:
-    """Write a whole file in any store that Arrow knows; a local one appears under its name only when complete."""
+@contextlib.contextmanager
+def _written(path: str) -> Iterator[pa.NativeFile]:
+    """A file to write to in any store that Arrow knows; it appears under its name only when complete."""
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     store.create_dir(os.path.dirname(place), recursive=True)
     with store.open_output_stream(place + ".part") as out:
-        out.write(content)
+        yield out
     store.move(place + ".part", place)
 
 
+def write_bytes(path: str, content: bytes) -> None:
+    """Write a whole file."""
+    with _written(path) as out:
+        out.write(content)
+
+
+def _pieces_of_text(encode: Callable[..., bytes]) -> Callable[..., Iterator[bytes]]:
+    def run(parts: Iterator[dict[str, np.ndarray]], points: int) -> Iterator[bytes]:
+        for k, columns in enumerate(parts):
+            yield encode(columns, header=k == 0)
+
+    return run
+
+
+def _pieces_of_pcd(parts: Iterator[dict[str, np.ndarray]], points: int, data: str = "binary") -> Iterator[bytes]:
+    yield from pcd.encode_parts(map(_pcd_records, parts), points, data)
+
+
+#: Formats that are written as the rows come in: the bytes of a file from the columns of some rows at a time and their number in all.
+STREAMED: dict[str, Callable[..., Iterator[bytes]]] = {"csv": _pieces_of_text(_to_csv), "txt": _pieces_of_text(_to_txt), "pcd": _pieces_of_pcd}
+
+
+def _write_streamed(df: DataFrame, path_of: Callable[[str], str], kind: str, options: dict) -> DataFrame:
+    """Each cloud's rows by point_id and place, after a row that says how many there are and how many have each field."""
+    plain = conform(df).select("cloud_id", "point_id", *FLAT_COLUMNS)
+    held = [F.count(F.when(~F.isnan(c), F.col(c)) if POINT_SCHEMA[c].dataType.simpleString() == "double" else c) for c in FLAT_COLUMNS]
+    heads = plain.groupBy("cloud_id").agg(F.array(F.count("*"), *held).alias("_head")).withColumn("_role", F.lit(0))
+    rows = plain.withColumn("_role", F.lit(1)).unionByName(heads, allowMissingColumns=True).select("cloud_id", "_role", "_head", "point_id", *FLAT_COLUMNS)
+    dealt = rows.repartition("cloud_id").sortWithinPartitions("cloud_id", "_role", "point_id", "x", "y", "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (part for batch in batches for part in pieces(batch, 2))
+        head = next(stream, None)
+        while head is not None:
+            cloud, counts, after = str(head.column(0)[0].as_py()), head.column(2)[0].as_py(), []
+            have = {c: n for c, n in zip(FLAT_COLUMNS, counts[1:], strict=True) if n or c in "xyz"}
+
+            def columns() -> Iterator[dict[str, np.ndarray]]:
+                for part in stream:
+                    if part.column(1)[0].as_py() == 0:
+                        after.append(part)
+                        return
+                    frame = part.select(list(have)).to_pandas()
+                    yield {c: frame[c].to_numpy(float if c in "xyz" or n < counts[0] else None) for c, n in have.items()}  # noqa: B023
+
+            path = path_of(cloud)
+            with _written(path) as out:
+                for piece in STREAMED[kind](columns(), counts[0], **options):
+                    out.write(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([cloud]), pa.array([path]), pa.array([counts[0]], pa.int64())], ["cloud_id", "path", "points"])
+            head = after[0] if after else next(stream, None)
+
+    return dealt.mapInArrow(run, "cloud_id string, path string, points long")
+
+
 def write_clouds(df: DataFrame, directory: str, kind: str, **options) -> DataFrame:
-    """Write a file for each cloud, each in the task that holds it: (cloud_id, path, points) of what was written."""
+    """Write a file for each cloud by point_id and place, each in one task: (cloud_id, path, points) of what was written."""
     if kind not in SUFFIXES:
         raise ValueError(f"no writer for {kind}")
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", ignore_index=True)
+        pdf = pdf.sort_values(["point_id", *"xyz"], ignore_index=True)
         cloud = str(pdf["cloud_id"].iloc[0])
         path = f"{directory.rstrip('/')}/{cloud}.{kind}"
         write_bytes(path, ENCODERS[kind](_columns(pdf), **options))
         return pd.DataFrame({"cloud_id": [cloud], "path": [path], "points": [len(pdf)]})
 
-    done = conform(df).groupBy("cloud_id").applyInPandas(save, "cloud_id string, path string, points long")
+    if kind in STREAMED:
+        done = _write_streamed(df, lambda cloud: f"{directory.rstrip('/')}/{cloud}.{kind}", kind, options)
+    else:
+        done = conform(df).groupBy("cloud_id").applyInPandas(save, "cloud_id string, path string, points long")
     return df.sparkSession.createDataFrame(done.toPandas(), "cloud_id string, path string, points long")  # a row for each file
 
 
