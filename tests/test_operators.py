@@ -285,6 +285,26 @@ def test_neighbours_of_small_and_large_clouds_agree(spark, monkeypatch, include_
     assert found[0] == found[1] == found[2] and len(found[0]) == 900
 
 
+def test_pairs_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 7)
+    xyz = RNG.random((40, 3))
+    both = frame(spark, xyz).unionByName(frame(spark, xyz[:3], cloud="b"))
+    pairs = spatial.pairwise_distance(both, both)
+    got = sorted((r.cloud_id, r.query_id, r.point_id, round(r.d2, 9)) for r in pairs.collect())
+    assert got == sorted((c, i, j, round(float(((xyz[i] - xyz[j]) ** 2).sum()), 9)) for c, n in (("a", 40), ("b", 3)) for i in range(n) for j in range(n))
+    assert "_i" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_in_reach(spark):
+    xyz = np.vstack((np.round(RNG.random((200, 3)), 1), np.zeros((40, 3))))  # ties and copies
+    d2 = ((xyz[:, None, 0] - xyz[None, :, 0]) ** 2 + (xyz[:, None, 1] - xyz[None, :, 1]) ** 2) + (xyz[:, None, 2] - xyz[None, :, 2]) ** 2
+    df = frame(spark, xyz).unionByName(frame(spark, [(float("nan"), 0, 0)], cloud="b"))
+    near = spatial.nearest_in_reach(df, df, 0.3, 9)
+    got = sorted((r.query_id, r.point_id) for r in near.collect())
+    assert got == sorted((i, int(j)) for i in range(240) for j in np.argsort(d2[i], kind="stable")[:9] if d2[i, j] <= 0.3 * 0.3)
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_normals_of_a_plane(spark):
     flat = np.column_stack((RNG.random((80, 2)) * 0.3, np.zeros(80)))
     for r in spatial.estimate_normals(frame(spark, flat), 0.2).collect():
