@@ -31,6 +31,17 @@ def test_lzf_round_trip(raw):
     assert lzf.decompress(lzf.compress(raw), len(raw)) == raw
 
 
+def test_lzf_forgets_what_is_out_of_reach():
+    import tracemalloc
+
+    raw = np.random.default_rng(5).integers(0, 256, 200_000, np.uint8).tobytes() + bytes(30_000) + b"abcd" * 9000
+    tracemalloc.start()
+    packed = lzf.compress(raw)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lzf.decompress(packed, len(raw)) == raw and most < 5e6
+
+
 def test_lzf_shrinks_repeats():
     raw = b"leaning cylinder " * 500
     assert len(lzf.compress(raw)) < len(raw) / 10
