@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 import sys
 
@@ -135,6 +136,53 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path, kind):
     assert len(got) == 3007 and all(r.point_id == r.x for r in got)
 
 
+def test_ascii_pcd_files_are_read_by_lines(spark, tmp_path, monkeypatch):
+    head = "# .PCD\n\nVERSION .7\nFIELDS x y z label\nSIZE 4 4 4 {s}\nTYPE F F F {t}\nCOUNT 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nPOINTS {n}\nDATA ascii\n"
+    rows = "".join(f"{k} {k / 7:.10e} 0 1\n" + "\n# a note\n" * (k % 500 == 0) for k in range(3000))
+    (tmp_path / "long.a.pcd").write_text(head.format(n=3000, s=4, t="F") + rows + "surplus\n")
+    (tmp_path / "odd name.pcd").write_text(head.format(n=3, s=1, t="U") + " 0\t1  nan 5\r\n1 1 inf 6 # end\r\n2 -1 2 255\r\n7 7 7 7")
+    (tmp_path / "none.pcd").write_text(head.format(n=0, s=4, t="F"))
+    (tmp_path / "binary.pcd").write_bytes(pcd.encode(pcd.xyz_records(np.arange(6.0).reshape(2, 3)), "binary"))
+    plain = {p.name: files._from_pcd(p.read_bytes()) for p in tmp_path.glob("*.pcd")}
+    decoded, split = [], pcd.split_file
+    monkeypatch.setattr(pcd, "split_file", lambda raw: decoded.append(len(raw)) or split(raw))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = files.read_cloud(spark, f"{tmp_path}/*.pcd")
+        assert files.read_cloud(spark, f"{tmp_path}/long.a.pcd").rdd.getNumPartitions() > 10
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert max(decoded) < 300  # only headers were looked at here
+    for name, columns in plain.items():
+        own = sorted((r for r in got if r.path.endswith(name)), key=lambda r: r.point_id)
+        assert [r.point_id for r in own] == list(range(len(columns["x"]))) and {r.cloud_id for r in own} <= {name.split(".")[0]}
+        for c in "xyz":
+            assert [getattr(r, c) for r in own] == columns[c].tolist()
+    (tmp_path / "short.pcd").write_text(head.format(n=3, s=4, t="F") + "1 2 3 4\n")
+    with pytest.raises(Exception, match="holds 1 points, its header says 3"):
+        files.read_cloud(spark, f"{tmp_path}/short.pcd").collect()
+    (tmp_path / "headless.pcd").write_text("VERSION .7\nFIELDS x\n")
+    with pytest.raises(ValueError, match="DATA"):
+        files.read_cloud(spark, f"{tmp_path}/headless.pcd")
+
+
+def test_ascii_body_as_numpy_reads_and_writes_it():
+    records = np.zeros(9000, [("x", "<f4"), ("y", "<f8"), ("n", "u1")])
+    records["x"], records["y"], records["n"] = RNG.normal(size=9000), RNG.normal(size=9000) * 1e300, RNG.integers(0, 256, 9000)
+    records["x"][:4] = [np.nan, np.inf, -np.inf, 1e-42]
+    out = io.StringIO()
+    np.savetxt(out, np.array(records.tolist(), object), fmt=["%.10e", "%.10e", "%d"])
+    assert pcd.text_body(records) == out.getvalue().encode()
+    floats = records[["x", "y"]].astype([("x", "<f4"), ("y", "<f8")])
+    body = pcd.text_body(floats)
+    for text in (body, body.replace(b" ", b"\t")):
+        back = pcd.text_records(text, floats.dtype, 8999)
+        wanted = np.loadtxt(io.BytesIO(body), max_rows=8999)
+        assert len(back) == 8999 and np.array_equal(back["y"], wanted[:, 1]) and np.array_equal(back["x"], wanted[:, 0].astype("f4"), equal_nan=True)
+
+
 @pytest.mark.parametrize(("kind", "options"), [("txt", {}), ("csv", {}), ("pcd", {"data": "ascii"}), ("pcd", {"data": "binary"})])
 def test_files_are_written_as_rows_come(kind, options):
     given, taken = [{c: np.arange(3.0) + 3 * k for c in "xyz"} for k in range(4)], []

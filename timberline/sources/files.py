@@ -1,6 +1,7 @@
 """Readers and writers of point clouds by file suffix.
 
-Binary formats are read with one task for a file (``binaryFile`` and Arrow batches); text formats by Spark's own readers.
+Binary formats are read with one task for a file (``binaryFile`` and Arrow batches); text formats, PCD files with ascii data
+among them, by Spark's own readers, block by block.
 A cloud is one file, so a writer brings the rows of a cloud into one task; clouds are written side by side. Text and PCD
 files are written as the sorted rows come in, so that no cloud has to fit the memory of its task."""
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -31,6 +34,10 @@ CSV_NAMES_BACK = [(stored, name) for name, stored in CSV_NAMES.items()]
 LAS_NAMES = {"r": "red", "g": "green", "b": "blue", "original_cloud_index": "point_source_id"}
 SUFFIXES = ("pcd", "las", "laz", "csv", "txt", "h5")
 BATCH = 65536
+#: Bytes of a PCD file that are read first for its header, and the most that are looked through for one.
+HEAD_BYTES, HEAD_MOST = 1 << 16, 1 << 24
+#: A line of an ascii file that is neither empty nor a comment.
+DATA_LINE = r"^\s*[^\s#]"
 
 
 def _suffix(path: str) -> str:
@@ -41,7 +48,10 @@ def _suffix(path: str) -> str:
 
 
 def _from_pcd(raw: bytes) -> dict[str, np.ndarray]:
-    records, _ = pcd.decode(raw)
+    return _of_records(pcd.decode(raw)[0])
+
+
+def _of_records(records: np.ndarray) -> dict[str, np.ndarray]:
     out = {c: records[c] for c in "xyz"}
     for name, stored in PCD_NAMES.items():
         if stored in records.dtype.names:
@@ -102,10 +112,10 @@ def _batches(columns: dict[str, np.ndarray], cloud: str, path: str, schema: pa.S
                 arrays.append(pa.array([cloud] * size, f.type))
             elif f.name == "path":
                 arrays.append(pa.array([path] * size, f.type))
-            elif f.name == "point_id":
-                arrays.append(pa.array(np.arange(at, at + size), f.type))
             elif f.name in columns:
                 arrays.append(pa.array(np.asarray(columns[f.name][at : at + size])).cast(f.type, safe=False))
+            elif f.name == "point_id":
+                arrays.append(pa.array(np.arange(at, at + size), f.type))
             else:
                 arrays.append(pa.nulls(size, f.type))
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -129,15 +139,16 @@ def decode_column(files: DataFrame, kind: str, path: str = "path", content: str
 
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Add path and the position of each line in its file.
+def _numbered(lines: DataFrame, total: str | None = None) -> DataFrame:
+    """Add path and the position of each line in its file, and by the name ``total`` how many lines the file has.
 
     Lines of a block follow each other in one task, so their place in the block is a difference of row numbers; a row for
     each block (path, first byte) then tells how many lines come before it. No file is sorted, and none has to fit a task."""
     held = lines.withColumns({"path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
     blocks = held.groupBy("path", "_block").agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(F.col("path").alias("_path"), F.col("_block").alias("_at"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"))
+    of_file = [F.sum("_n").over(Window.partitionBy("path")).alias(total)] if total else []
+    before = blocks.select(F.col("path").alias("_path"), F.col("_block").alias("_at"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"), *of_file)
     joined = held.join(F.broadcast(before), (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at")))
     # ``before`` is broadcast: a join by path would move every line, those of a file into one task
     return joined.withColumn("point_id", (F.col("_row") + F.col("_shift")).cast("long")).drop("_block", "_row", "_path", "_at", "_shift")
@@ -190,6 +201,66 @@ def _read_txt(spark: SparkSession, path: str) -> DataFrame:
     return parts.join(F.broadcast(based), "path").select(_cloud_of().alias("cloud_id"), (F.col("point_id") - F.col("_base")).alias("point_id"), "path", *[field(v).cast(POINT_SCHEMA[k].dataType).alias(k) for k, v in TXT_NAMES.items()])
 
 
+def _pcd_heads(spark: SparkSession, path: str) -> dict[str, tuple[str, bytes]]:
+    """For the file path of each PCD file as the metadata column has it: its plain path and its header. Only the first bytes of a file are read."""
+    found = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("at")).collect()  # a row for each file
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def head(plain: str) -> bytes:
+        place = spark._jvm.org.apache.hadoop.fs.Path(plain)
+        stream, raw = place.getFileSystem(conf).open(place), b""
+        try:
+            while len(raw) < HEAD_MOST:
+                more = bytes(stream.readNBytes(max(HEAD_BYTES, len(raw))))
+                raw += more
+                end = pcd.head_size(raw, whole=not more)
+                if end is not None:
+                    return raw[:end]
+                if not more:
+                    break
+        finally:
+            stream.close()
+        raise ValueError(f"PCD file without a DATA line: {plain}")
+
+    with ThreadPoolExecutor(16) as pool:
+        return {r["at"]: (r["path"], h) for r, h in zip(found, pool.map(head, [r["path"] for r in found]), strict=True)}
+
+
+def _read_pcd(spark: SparkSession, path: str) -> DataFrame:
+    """Files with ascii data are read by lines in any number of tasks, the others whole."""
+    files: dict[str, tuple] = {}
+    heads = _pcd_heads(spark, path)
+    kinds: dict[str, np.dtype] = {}
+    for at, (plain, head) in heads.items():
+        meta, _ = pcd.split_file(head)
+        if meta["data"] == "ascii":
+            kind = pcd.record_type(meta)
+            lines = sum(bool(re.match(DATA_LINE.encode(), x)) for x in head.split(b"\n"))
+            files[at] = plain, kinds.setdefault(str(kind.descr), kind), lines, meta["points"]
+    at = F.col("_metadata.file_path")
+    whole = spark.read.format("binaryFile").load(path)
+    if not files:
+        return decode_column(whole, "pcd")
+    lines = _numbered(spark.read.text(path, lineSep="\n").where(at.isin(list(files)) & F.col("value").rlike(DATA_LINE)), "lines")
+    schema = to_arrow_schema(POINT_SCHEMA).append(pa.field("path", pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in pieces(batch, 1)):
+            plain, kind, before, points = files[part.column(0)[0].as_py()]
+            held = part.column(1)[0].as_py() - before
+            if held < points:
+                raise ValueError(f"PCD file holds {held} points, its header says {points}: {plain}")
+            place = part.column(2).to_numpy() - before
+            inside = (place >= 0) & (place < points)
+            if inside.any():
+                body = b"\n".join(part.column(3).filter(pa.array(inside)).to_pylist())
+                columns = _of_records(pcd.text_records(body, kind, points)) | {"point_id": place[inside]}
+                yield from _batches(columns, os.path.basename(plain).split(".")[0], plain, schema)
+
+    found = lines.select("path", "lines", "point_id", F.col("value").cast("binary").alias("value")).mapInArrow(run, READ_SCHEMA)
+    return found if len(files) == len(heads) else found.unionByName(decode_column(whole.where(~at.isin(list(files))), "pcd"))
+
+
 def read_cloud(spark: SparkSession, path: str, kind: str | None = None, pad: bool = True) -> DataFrame:
     """Points of a file, or of all files that a pattern fits, in the point schema plus ``path``; absent attributes are 0 (null if not ``pad``)."""
     kind = kind or _suffix(path)
@@ -197,6 +268,8 @@ def read_cloud(spark: SparkSession, path: str, kind: str | None = None, pad: boo
         found = _read_csv(spark, path)
     elif kind == "txt":
         found = _read_txt(spark, path)
+    elif kind == "pcd":
+        found = _read_pcd(spark, path)
     else:
         found = decode_column(spark.read.format("binaryFile").load(path), kind)
     found = conform(found).withColumn("path", F.lit(None).cast("string")) if "path" not in found.columns else found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(POINT_SCHEMA[c].dataType).alias(c) for c in POINT_SCHEMA.names], "path")
