@@ -193,6 +193,17 @@ def test_files_are_written_as_rows_come(kind, options):
     assert first + b"".join(pieces) == files.ENCODERS[kind](whole, **options)
 
 
+def test_clouds_are_dealt_evenly_to_tasks(spark, tmp_path):
+    several = frame(spark, [(k, 0, 0) for k in range(60)]).withColumns({"point_id": -F.col("x").cast("long"), "cloud_id": F.concat(F.lit("c"), (F.col("x") % 6).cast("int").cast("string"))})
+    for n, most in ((4, 1), (6, 2)):
+        own = several.where(F.col("x") % 6 < n).withColumn("cloud_id", F.when(F.col("cloud_id") != "c0", F.col("cloud_id")))
+        done = files._write_streamed(own, lambda cloud: f"{tmp_path}/{n}/{cloud}.txt", "txt", {}).withColumn("task", F.spark_partition_id()).collect()  # noqa: B023
+        tasks = [r.task for r in done]
+        assert len(done) == n and len(set(tasks)) == 4 and max(tasks.count(t) for t in tasks) == most
+        got = files.read_cloud(spark, f"{tmp_path}/{n}/*.txt").orderBy("cloud_id", "point_id").collect()
+        assert [(r.cloud_id, r.x) for r in got] == [(c, x) for c, k in sorted([("None", 0), *((f"c{k}", k) for k in range(1, n))]) for x in range(54 + k, -1, -6)]
+
+
 @pytest.mark.parametrize("kind", ["txt", "csv", "pcd"])
 def test_written_clouds_by_id_and_place(spark, tmp_path, kind):
     both = frame(spark, [(k % 7, 50 - k, k) for k in range(50)], cloud="a").withColumn("intensity", F.lit(2.0)).unionByName(frame(spark, [(1, 2, 3)], cloud="b").withColumn("intensity", F.lit(None).cast("double")))

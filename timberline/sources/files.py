@@ -368,35 +368,42 @@ STREAMED: dict[str, Callable[..., Iterator[bytes]]] = {"csv": _pieces_of_text(_t
 
 
 def _write_streamed(df: DataFrame, path_of: Callable[[str], str], kind: str, options: dict) -> DataFrame:
-    """Each cloud's rows by point_id and place, after a row that says how many there are and how many have each field."""
+    """Each cloud's rows by point_id and place. How many there are, and how many have each field, is counted before.
+
+    Clouds are dealt to tasks by size and not by hash, so that no task has two of them while another has none."""
     plain = conform(df).select("cloud_id", "point_id", *FLAT_COLUMNS)
     held = [F.count(F.when(~F.isnan(c), F.col(c)) if POINT_SCHEMA[c].dataType.simpleString() == "double" else c) for c in FLAT_COLUMNS]
-    heads = plain.groupBy("cloud_id").agg(F.array(F.count("*"), *held).alias("_head")).withColumn("_role", F.lit(0))
-    rows = plain.withColumn("_role", F.lit(1)).unionByName(heads, allowMissingColumns=True).select("cloud_id", "_role", "_head", "point_id", *FLAT_COLUMNS)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given: clouds of few bytes aren't put into one task
-    dealt = rows.repartition(tasks, "cloud_id").sortWithinPartitions("cloud_id", "_role", "point_id", "x", "y", "z")
+    counted = plain.groupBy("cloud_id").agg(F.array(F.count("*"), *held).alias("counts")).collect()  # a row for each file
+    counted.sort(key=lambda r: (-r["counts"][0], str(r["cloud_id"])))
+    counts_of = {r["cloud_id"]: r["counts"] for r in counted}
+    tasks = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(counted)))
+    slots = df.sparkSession.createDataFrame([(r["cloud_id"], k % tasks) for k, r in enumerate(counted)], "_of string, _slot int")
+    rows = plain.join(F.broadcast(slots), F.col("cloud_id").eqNullSafe(F.col("_of"))).drop("_of").repartitionById(tasks, "_slot")
+    several = ["cloud_id"] if len(counted) > tasks else []  # a cloud alone in its task is sorted faster by its numbers
+    dealt = rows.sortWithinPartitions(*several, "point_id", "x", "y", "z").select("cloud_id", *FLAT_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (part for batch in batches for part in pieces(batch, 2))
-        head = next(stream, None)
-        while head is not None:
-            cloud, counts, after = str(head.column(0)[0].as_py()), head.column(2)[0].as_py(), []
+        stream = (part for batch in batches for part in pieces(batch, 1))
+        part = next(stream, None)
+        while part is not None:
+            cloud, after = part.column(0)[0].as_py(), []
+            counts = counts_of[cloud]
             have = {c: n for c, n in zip(FLAT_COLUMNS, counts[1:], strict=True) if n or c in "xyz"}
 
             def columns() -> Iterator[dict[str, np.ndarray]]:
-                for part in stream:
-                    if part.column(1)[0].as_py() == 0:
-                        after.append(part)
-                        return
-                    frame = part.select(list(have)).to_pandas()
+                own = part  # noqa: B023
+                while own is not None and own.column(0)[0].as_py() == cloud:  # noqa: B023
+                    frame = own.select(list(have)).to_pandas()  # noqa: B023
                     yield {c: frame[c].to_numpy(float if c in "xyz" or n < counts[0] else None) for c, n in have.items()}  # noqa: B023
+                    own = next(stream, None)
+                after.append(own)  # noqa: B023
 
-            path = path_of(cloud)
+            path = path_of(str(cloud))
             with _written(path) as out:
                 for piece in STREAMED[kind](columns(), counts[0], **options):
                     out.write(piece)
-            yield pa.RecordBatch.from_arrays([pa.array([cloud]), pa.array([path]), pa.array([counts[0]], pa.int64())], ["cloud_id", "path", "points"])
-            head = after[0] if after else next(stream, None)
+            yield pa.RecordBatch.from_arrays([pa.array([str(cloud)]), pa.array([path]), pa.array([counts[0]], pa.int64())], ["cloud_id", "path", "points"])
+            part = after[0]
 
     return dealt.mapInArrow(run, "cloud_id string, path string, points long")
 
